@@ -1,0 +1 @@
+"""The engine is batch only: none of its operators has a streaming form."""
