@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.llm import oracles
+from hashloom.llm.common import Scratch
 from hashloom.llm.impact_topk import impact_top_k
 from hashloom.llm.mixing import fair_queue
 from hashloom.llm.multi_index import nearest
+from hashloom.llm.packing import pack
+from hashloom.llm.token_store import read_tokens, write_tokens
+from hashloom.llm.tokens import default_path
 from hashloom.sources.tables import table
 
 
@@ -23,12 +27,21 @@ def op2_fair_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_store(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark, "tokens")
+    return read_tokens(write_tokens(table(spark, d, "documents"), default_path(), scratch.path("shards"), scratch, end_id=0))
+
+
+def op5_bm25_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), default_path(), end_id=1, ids=False)
+
+
 def op6_multi_index(spark: SparkSession, d: str) -> DataFrame:
     return nearest(table(spark, d, "embeddings"), F.col("id") % 50 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_impact_topk, op2_fair_mix, op6_multi_index)}
+    return {f.__name__: f for f in (op1_impact_topk, op2_fair_mix, op4_token_store, op5_bm25_pack, op6_multi_index)}
 
 
 def oracle_sql() -> dict[str, str]:
