@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.llm import oracles
-from hashloom.llm.common import Scratch
+from hashloom.llm.common import Scratch, held_out
 from hashloom.llm.impact_topk import impact_top_k
+from hashloom.llm.language_id import identify, learn
 from hashloom.llm.mixing import fair_queue
 from hashloom.llm.multi_index import nearest
 from hashloom.llm.packing import pack
+from hashloom.llm.quality import fit_quality, score_quality
 from hashloom.llm.token_store import read_tokens, write_tokens
 from hashloom.llm.tokens import default_path
 from hashloom.sources.tables import table
@@ -40,8 +42,18 @@ def op6_multi_index(spark: SparkSession, d: str) -> DataFrame:
     return nearest(table(spark, d, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs, apart = table(spark, d, "documents"), held_out("doc_id", 4, 2)
+    return identify(docs, learn(docs.where(~apart)), "doc_id", apart.alias("held_out"))
+
+
+def op10_co_training(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, d, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_impact_topk, op2_fair_mix, op4_token_store, op5_bm25_pack, op6_multi_index)}
+    return {f.__name__: f for f in (op1_impact_topk, op2_fair_mix, op4_token_store, op5_bm25_pack, op6_multi_index, op9_language_id, op10_co_training)}
 
 
 def oracle_sql() -> dict[str, str]:
