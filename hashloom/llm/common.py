@@ -7,6 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,3 +101,19 @@ def runs(batches: Iterator, rows: int) -> Iterator:
                 kept, n = [], 0
     if n:
         yield pd.concat(kept, ignore_index=True)
+
+
+def coded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of texts, A-Z lower-cased, one text after the other: the code
+    of each word, how many words each text has, and the word of each code."""
+    lower = pc.ascii_lower(pa.array([x or "" for x in texts], pa.large_string()))
+    parts = pc.ascii_split_whitespace(lower)
+    flat, ends = parts.values, parts.offsets.to_numpy()
+    empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    sizes = np.diff(ends)
+    if empty.any():
+        before = np.concatenate([[0], np.cumsum(empty)])
+        sizes = sizes - (before[ends[1:]] - before[ends[:-1]])
+        flat = flat.filter(pa.array(~empty))
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes.astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()

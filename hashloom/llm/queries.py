@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import hashloom
 from hashloom.llm import oracles
 from hashloom.llm.common import Scratch, held_out
+from hashloom.llm.context_mixing import score_texts
 from hashloom.llm.impact_topk import impact_top_k
 from hashloom.llm.language_id import identify, learn
 from hashloom.llm.mixing import fair_queue
@@ -29,6 +34,10 @@ def op2_fair_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_context_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return score_texts(table(spark, d, "documents"))
+
+
 def op4_token_store(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "tokens")
     return read_tokens(write_tokens(table(spark, d, "documents"), default_path(), scratch.path("shards"), scratch, end_id=0))
@@ -52,8 +61,27 @@ def op10_co_training(spark: SparkSession, d: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, d, "labels")))
 
 
+QUERIES = (op1_impact_topk, op2_fair_mix, op3_context_mixing, op4_token_store, op5_bm25_pack, op6_multi_index, op9_language_id, op10_co_training)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it."""
+    root, env = str(Path(hashloom.__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_impact_topk, op2_fair_mix, op4_token_store, op5_bm25_pack, op6_multi_index, op9_language_id, op10_co_training)}
+    def ready(query):
+        @functools.wraps(query)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            importable(spark)
+            return query(spark, d)
+
+        return run
+
+    return {f.__name__: ready(f) for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
