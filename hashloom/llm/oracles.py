@@ -32,4 +32,18 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (least(size, greatest(0, floor(target)::BIGINT - fin + size)) + least(size, greatest(0, floor(target)::BIGINT - source_size - fin + size)))::BIGINT AS taken FROM e
 """
 
-SQL = {"op1_impact_topk": _TOPK, "op2_fair_mix": _MIX}
+_NEAR = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS x FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(x) >= 2 THEN list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1]) WHEN len(x) = 1 THEN [x[1]] ELSE [] END) AS t FROM w
+), e AS (SELECT doc_id, len(t) AS n, unnest(t) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS m, any_value(b.n) AS n
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2
+), l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (m + n - i)
+), r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a)
+SELECT doc_id, len(t)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept FROM s JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) ON a = doc_id
+"""
+
+SQL = {"op1_impact_topk": _TOPK, "op2_fair_mix": _MIX, "op8_setsketch_dedup": _NEAR}

@@ -20,6 +20,7 @@ from hashloom.llm.mixing import fair_queue
 from hashloom.llm.multi_index import nearest
 from hashloom.llm.packing import pack
 from hashloom.llm.quality import fit_quality, score_quality
+from hashloom.llm.setsketch import near_duplicates
 from hashloom.llm.token_store import read_tokens, write_tokens
 from hashloom.llm.tokens import default_path
 from hashloom.sources.tables import table
@@ -51,6 +52,10 @@ def op6_multi_index(spark: SparkSession, d: str) -> DataFrame:
     return nearest(table(spark, d, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op8_setsketch_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(table(spark, d, "documents"), width=2, percent=80)
+
+
 def op9_language_id(spark: SparkSession, d: str) -> DataFrame:
     docs, apart = table(spark, d, "documents"), held_out("doc_id", 4, 2)
     return identify(docs, learn(docs.where(~apart)), "doc_id", apart.alias("held_out"))
@@ -61,7 +66,7 @@ def op10_co_training(spark: SparkSession, d: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, d, "labels")))
 
 
-QUERIES = (op1_impact_topk, op2_fair_mix, op3_context_mixing, op4_token_store, op5_bm25_pack, op6_multi_index, op9_language_id, op10_co_training)
+QUERIES = (op1_impact_topk, op2_fair_mix, op3_context_mixing, op4_token_store, op5_bm25_pack, op6_multi_index, op8_setsketch_dedup, op9_language_id, op10_co_training)
 
 
 def importable(spark: SparkSession) -> None:
