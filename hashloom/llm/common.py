@@ -60,11 +60,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df, marked for broadcasting if it has at most so many (narrow) rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def semi_join(df: DataFrame, ids: DataFrame, on: str, most: int = 1 << 21) -> DataFrame:
     """The rows of df whose key is in ids (distinct, with that one column). ids
     are broadcast if they are counted at ``most`` at most, and shuffled beyond."""
-    small = ids.count() <= most
-    return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
+    return df.join(small(ids, most), on, "left_semi")
 
 
 def text_bytes(df: DataFrame) -> int:

@@ -16,6 +16,7 @@ from hashloom.llm.common import Scratch, held_out
 from hashloom.llm.context_mixing import score_texts
 from hashloom.llm.impact_topk import impact_top_k
 from hashloom.llm.language_id import identify, learn
+from hashloom.llm.line_dedup import dedup_lines
 from hashloom.llm.mixing import fair_queue
 from hashloom.llm.multi_index import nearest
 from hashloom.llm.packing import pack
@@ -52,6 +53,14 @@ def op6_multi_index(spark: SparkSession, d: str) -> DataFrame:
     return nearest(table(spark, d, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op7_fuzzy_lines(spark: SparkSession, d: str) -> DataFrame:
+    done = dedup_lines(table(spark, d, "documents"))
+    return done.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__lines").alias("n_lines"), F.col("__grouped").alias("n_grouped"),
+        F.size("__removed").cast("bigint").alias("n_removed"), F.array_join(F.col("__removed").cast("array<string>"), ",").alias("removed"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
 def op8_setsketch_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"), width=2, percent=80)
 
@@ -66,7 +75,7 @@ def op10_co_training(spark: SparkSession, d: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, d, "labels")))
 
 
-QUERIES = (op1_impact_topk, op2_fair_mix, op3_context_mixing, op4_token_store, op5_bm25_pack, op6_multi_index, op8_setsketch_dedup, op9_language_id, op10_co_training)
+QUERIES = (op1_impact_topk, op2_fair_mix, op3_context_mixing, op4_token_store, op5_bm25_pack, op6_multi_index, op7_fuzzy_lines, op8_setsketch_dedup, op9_language_id, op10_co_training)
 
 
 def importable(spark: SparkSession) -> None:
