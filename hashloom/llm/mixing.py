@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import WORD
+from hashloom.llm.common import WORD, Scratch, small
 
 #: Hexadecimal digits of the order that make a slice: 4096 slices a source.
 SLICE = 3
@@ -43,14 +43,14 @@ def _source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, c
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(by_name) - 1) % len(weights)
     weighed = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
-    # By the virtual time at which a source runs dry, those before T are full.
+    # In the order in which sources run dry: were all before a source full, the
+    # rest would share what is left at this time. The cut is the latest of these.
     full = W.orderBy(F.col("source_size") * cap / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy()
     budget = F.sum("source_size").over(whole) * F.lit(share)
     time = (budget - F.coalesce(F.sum(F.col("source_size") * cap).over(full), F.lit(0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(full), F.lit(0)))
-    ranked = weighed.withColumn("time", time).withColumn("dry", F.col("source_size") * cap <= F.col("time") * F.col("weight"))
-    cut = F.min(F.when(~F.col("dry"), F.col("time"))).over(whole)
-    target = F.when(F.col("dry"), (F.col("source_size") * cap).cast("double")).otherwise(F.col("weight") * cut)
+    ranked = weighed.withColumn("time", time).withColumn("cut", F.max("time").over(whole))
+    target = F.least((F.col("source_size") * cap).cast("double"), F.col("weight") * F.col("cut"))
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -64,13 +64,14 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("order"), *keep).withColumn("slice", F.substring("order", 1, SLICE))
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    slices = Scratch(docs.sparkSession, "mixing").save(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
     totals = slices.groupBy("source").agg(F.sum("words").alias("source_size"))
     start = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     targets = _source_targets(totals, weights, share, cap)
     a, b = slices.withColumn("start", start).alias("a"), targets.alias("b")
     known = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("known_source"), F.col("slice").alias("known_slice"), "start", "source_size", "weight", "target")
-    placed = rows.join(known, F.col("source").eqNullSafe(F.col("known_source")) & (F.col("slice") == F.col("known_slice")))
+    # At most 4096 rows a source, so mostly small enough to leave the texts in place.
+    placed = rows.join(small(known), F.col("source").eqNullSafe(F.col("known_source")) & (F.col("slice") == F.col("known_slice")))
     end = F.col("start") + F.sum("size").over(W.partitionBy("source", "slice").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
     queued = placed.withColumn("end", end)
     taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), F.floor("target") - F.col("source_size") * turn - F.col("end") + F.col("size"))) for turn in range(cap)), F.lit(0))
@@ -80,13 +81,14 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, with the columns of docs: one row a turn
     in which a document gives words, in the order of finish times; the text of
-    a document cut by the budget is its first words."""
+    a document cut by the budget is its first words, and n_chars its length."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     queued = fair_queue(docs, keep=rest, **options)
     turns = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
     each = queued.where("taken > 0").withColumn("turn", F.explode(turns)).withColumn("gives", F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("turn")))
     first = F.when(F.col("gives") < F.col("size"), first_words(F.col("text"), F.col("gives"))).otherwise(F.col("text"))
-    return each.withColumn("text", first).select(*docs.columns)
+    mixed = each.withColumn("text", first)
+    return mixed.select(*(F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -21,10 +21,8 @@ WITH d AS (
 ), t AS (
   SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(source_size * 2) OVER f, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0))::DOUBLE AS time
   FROM s WINDOW f AS (ORDER BY source_size * 2 / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), u AS (
-  SELECT *, source_size * 2 <= time * weight AS dry FROM t
 ), g AS (
-  SELECT source, source_size, CASE WHEN dry THEN (source_size * 2)::DOUBLE ELSE weight * min(CASE WHEN NOT dry THEN time END) OVER () END AS target FROM u
+  SELECT source, source_size, least((source_size * 2)::DOUBLE, weight * max(time) OVER ()) AS target FROM t
 ), e AS (
   SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS fin
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
