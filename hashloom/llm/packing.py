@@ -151,7 +151,8 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every
-    piece of docs (doc_id, text), and with ids the piece's ids themselves."""
+    piece of docs (doc_id, text), and with ids the piece's ids, little-endian and
+    of 16 bits each (32 for vocabularies over 65,536)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.xxhash64("doc_id", "text")
     dealt = rows.withColumn("key", key).repartition(pieces(text_bytes(rows), TASK_BYTES), "key").sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text")
@@ -166,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, ids: bool = True) ->
         def flush():
             out, packer.out = packer.out, []
             pdf = pd.DataFrame([x[:7] for x in out], columns=columns).astype({"doc_id": "Int64"})
-            return pdf.assign(ids=[x[7].tolist() for x in out]) if ids else pdf
+            return pdf.assign(ids=[x[7].tobytes() for x in out]) if ids else pdf
 
         keys, texts, chars = [], [], 0
 
@@ -187,5 +188,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, ids: bool = True) ->
         packer.close()
         yield flush()
 
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<bigint>" * ids
+    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * ids
     return dealt.mapInPandas(each, schema)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import Scratch, coded_words, hash_of, semi_join
+from hashloom.llm.common import Scratch, coded_words, hash_of, semi_join, small
 from hashloom.llm.components import components
 
 BANDS, PER_BAND = 40, 6
@@ -70,11 +70,11 @@ def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
         if size >= width:
             out.append(np.unique(rolled[a : end - width + 1]))
         elif size:
-            one = np.uint64(0)
-            for i, x in enumerate(h[a:end]):
-                one = _mix(np.array([one + x + np.uint64(i + 1)], np.uint64))[0]
+            one = np.zeros(1, np.uint64)
+            for i in range(size):
+                one = _mix(one + h[a + i : a + i + 1] + np.uint64(i + 1))
             # A short text's one shingle must not meet those of whole width.
-            out.append(_mix(np.array([one ^ np.uint64(0x5851F42D4C957F2D + int(size))], np.uint64)))
+            out.append(_mix(one ^ np.uint64(0x5851F42D4C957F2D + int(size))))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -287,3 +287,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     final = made.select("doc_id", "n_shingles").join(whole, made["doc_id"] == whole["id"], "left")
     component = F.coalesce("component", "doc_id")
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near-duplicates; of rows that
+    repeat an id, one. Documents without an id stay."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = scratch.save(near_duplicates(docs, width, percent), "found")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(small(gone, 1 << 21), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.take(1):
+        return left
+    twice = left.join(small(repeated), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return left.join(small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
