@@ -82,13 +82,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, with the columns of docs: one row a turn
     in which a document gives words, in the order of finish times; the text of
     a document cut by the budget is its first words, and n_chars its length."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    queued = fair_queue(docs, keep=rest, **options)
+    row = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    queued = fair_queue(row, keep=("__row",), **options)
     turns = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
     each = queued.where("taken > 0").withColumn("turn", F.explode(turns)).withColumn("gives", F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("turn")))
-    first = F.when(F.col("gives") < F.col("size"), first_words(F.col("text"), F.col("gives"))).otherwise(F.col("text"))
-    mixed = each.withColumn("text", first)
-    return mixed.select(*(F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))
+    text = F.when(F.col("gives") < F.col("size"), first_words(F.col("__row.text"), F.col("gives"))).otherwise(F.col("__row.text"))
+    renewed = {"text": text, "n_chars": F.length(text)}
+    return each.select(*((renewed.get(c, F.col(f"__row.`{c}`"))).cast(t).alias(c) for c, t in docs.dtypes))
 
 
 def first_words(text: Column, n: Column) -> Column:
