@@ -11,13 +11,16 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD, _GAP = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
-#: Chunks remembered before the memory is cleared; it only saves time.
-MOST = 1 << 20
+#: Chunks remembered: beyond MOST, all but the first KEEP are forgotten. The
+#: first ones met are mostly the frequent ones; it only saves time.
+MOST, KEEP = 600_000, 300_000
 #: Chunks encoded in one call of the library.
 JOINED = 64
 
@@ -31,7 +34,7 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Token ids of texts; special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str, most: int = MOST):
+    def __init__(self, path: str, most: int = MOST, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,71 +45,81 @@ class Encoder:
         self.bytes = np.zeros(self.lib.get_vocab_size(), np.int64)
         for name, i in self.lib.get_vocab().items():
             self.bytes[i] = len(name)
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.most, self.keep = most, keep
+        self.known: dict[str, int] = {}  # chunks after a space, without it
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the chunks, one after the other, and how many each has.
+    def _forget(self) -> None:
+        self.known = dict(islice(self.known.items(), self.keep))
+        self.used = int(self.begin[self.keep])
+
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum())), sizes
 
-        Chunks in the inside of a text may stand beside each other in one call;
-        the bytes of chunks and of tokens tell which ids belong to which."""
-        joined = ["".join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
-        got = [e.ids for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(got), np.int64, sum(map(len, got)))
-        ends = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in chunks), np.int64, len(chunks)))
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks after spaces, one after the other, and how many each has.
+
+        Such chunks may stand beside each other in one call; the bytes of
+        chunks and of tokens tell which ids belong to which."""
+        ids, _ = self._alone([" " + " ".join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)])
+        ends = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in chunks), np.int64, len(chunks)) + 1)
         upto = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")
         return ids, np.diff(upto, prepend=0)
 
     def _learn(self, chunks: list[str]) -> None:
-        inside = [c for c in chunks if c[:1] == " " and not c[-1].isspace()]
-        edge = [c for c in chunks if c[:1] != " " or c[-1].isspace()]
-        alone = [e.ids for e in self.lib.encode_batch_fast(edge, add_special_tokens=False)]
-        ids, sizes = self._ids(inside)
-        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(alone), np.int64, sum(map(len, alone)))])
-        sizes = np.concatenate([sizes, np.fromiter(map(len, alone), np.int64, len(alone))])
-        chunks = inside + edge
-        n, at, total = len(self.known), self.used, int(sizes.sum())
+        edge = [c for c in chunks if not c or c[-1].isspace()]
+        inside = [c for c in chunks if c and not c[-1].isspace()] if edge else chunks
+        (ids, sizes), (more, others) = self._joined(inside), self._alone([" " + c for c in edge])
+        ids, sizes, chunks = np.concatenate([ids, more]), np.concatenate([sizes, others]), inside + edge
+        n, at, total = len(self.known), self.used, len(ids)
         while at + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(chunks) > len(self.begin):
+        while n + len(chunks) >= len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         self.flat[at : at + total] = ids
         self.size[n : n + len(chunks)] = sizes
-        self.begin[n : n + len(chunks)] = at + np.cumsum(sizes) - sizes
+        self.begin[n : n + len(chunks) + 1] = at + np.concatenate([[0], np.cumsum(sizes)])
         self.used = at + total
         self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """The text in chunks that are encoded apart; all but the first begin with a space."""
-        if _ODD.search(text):
-            return _GAP.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _GAP.split(text)
-
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each text; nulls are empty."""
+        texts = [x or "" for x in texts]
+        if not texts:
+            return []
         if len(self.known) > self.most:
-            self._clear()
-        chunks: list[str] = []
-        ends = []
-        for text in texts:
-            if text:
-                chunks += self.cut(text)
-            ends.append(len(chunks))
-        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        new = np.flatnonzero(at < 0)
+            self._forget()
+        # In a text with a space after white space the cuts stand elsewhere.
+        odd = [i for i, x in enumerate(texts) if _ODD.search(x)]
+        plain = pa.array(texts, pa.large_string())
+        parts = pc.split_pattern(plain, " ")
+        starts, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        place = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(place < 0)
         if len(new):
-            self._learn(list(dict.fromkeys(chunks[i] for i in new)))
-            at[new] = [self.known[chunks[i]] for i in new]
+            fresh = [chunks[i] for i in new]
+            self._learn(fresh)
+            place[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        at = place[coded.indices.to_numpy()]
+        # The first chunk of a text has no space before it.
+        first, first_sizes = self._alone([x[: x.find(" ")] if " " in x else x for x in texts])
         sizes = self.size[at]
+        sizes[starts[:-1]] = 0
         done = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.flat[np.repeat(self.begin[at] - done[:-1], sizes) + np.arange(done[-1])]
-        bounds = done[np.array([0, *ends])]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        heads, tails = np.split(first.astype(self.dtype), np.cumsum(first_sizes)[:-1]), np.split(flat, done[starts[1:-1]])
+        out = [np.concatenate(x) for x in zip(heads, tails, strict=True)]
+        for i in odd:
+            out[i] = self._odd(texts[i])
+        return out
+
+    def _odd(self, text: str) -> np.ndarray:
+        ids, _ = self._alone(_GAP.split(text))
+        return ids.astype(self.dtype)
 
 
 _encoders: dict[str, Encoder] = {}
