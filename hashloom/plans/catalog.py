@@ -185,11 +185,8 @@ for _name in J.HINTS:
     _add(f"join_{_name}", _pair(lambda r, s, name=_name: J.join_hinted(r, s, name)), _MM)
 _add(
     "join_naive",
-    lambda s, d: J.join_naive(
-        table(s, d, "events").where("event_id < 500").select(F.col("user_id").alias("key")),
-        table(s, d, "orders").where("o_orderkey < 500").select(F.col("o_custkey").alias("key")),
-    ),
-    _join_sql(MM[0] + " WHERE event_id < 500", MM[1] + " WHERE o_orderkey < 500"),
+    lambda s, d: J.join_naive(_keyed("supplier", "s_nationkey")(s, d), _keyed("customer", "c_nationkey")(s, d), most=1 << 20),
+    _join_sql("SELECT s_nationkey::BIGINT AS key FROM supplier", "SELECT c_nationkey::BIGINT AS key FROM customer"),
 )
 _add("join_skew_salted", lambda s, d: J.join_skew_salted(SUPPLIERS(s, d), HEAVY(s, d)), _join_sql("SELECT s_suppkey::BIGINT AS key FROM supplier", HEAVY_SQL))
 _add("join_two_level", _pair(lambda r, s: J.join_two_level(r, s, 8, 16)), _MM)

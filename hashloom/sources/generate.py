@@ -52,7 +52,10 @@ def relation(spark: SparkSession, n: int, seed: int, max_key: int, distribution:
     if distribution not in DISTRIBUTIONS:
         raise ValueError(f"unknown distribution {distribution!r}; one of {', '.join(DISTRIBUTIONS)}")
     with wrapping(spark):
-        die, value = umod(_draw(seed, F.col("id") * 2), 100), _draw(seed, F.col("id") * 2 + 1)
+        # A step of its own: the optimizer keeps it, so the draw is computed once
+        # and not in every branch that uses it.
+        drawn = spark.range(n).select("id", umod(_draw(seed, F.col("id") * 2), 100).alias("die"), _draw(seed, F.col("id") * 2 + 1).alias("value"))
+        die, value = F.col("die"), F.col("value")
         key = value
         if distribution == "multiples":
             key = value - umod(value, MULTIPLE)
@@ -62,7 +65,7 @@ def relation(spark: SparkSession, n: int, seed: int, max_key: int, distribution:
             key = _tiers(die, value, max_key)
         if max_key:
             key = umod(key, max_key)
-        return spark.range(n).select("id", key.alias("key"))
+        return drawn.select("id", key.alias("key"))
 
 
 def _tiers(die: Column, value: Column, max_key: int) -> Column:
