@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -60,6 +61,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark drop the shuffle files of plans that nothing refers to any more,
+    which it else does whenever the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     """df, marked for broadcasting if it has at most so many (narrow) rows."""
     return F.broadcast(df) if df.count() <= most else df
