@@ -187,6 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, ids: bool = True) ->
             yield packed()
         packer.close()
         yield flush()
+        tokens.rest()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * ids
     return dealt.mapInPandas(each, schema)

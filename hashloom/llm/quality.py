@@ -37,7 +37,7 @@ LABELLED, POOL, ROUNDS, GROW = 6000, 6000, 3, 400
 WORDS, SHAPES, WHOLE, META = 1 << 14, 1 << 12, 6, 1 << 12
 TEXT = WORDS + SHAPES + WHOLE
 SURE_GOOD, SURE_BAD = 0.98, 0.9
-MEMORY, DOCS = 1 << 18, 1000
+MEMORY, DOCS = 1 << 18, 500
 
 _SHAPE = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"))
 
@@ -113,11 +113,11 @@ def meta_features(source, lang, n_chars) -> list[np.ndarray]:
 class Rows:
     """Sparse rows for fitting."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(self.n), [len(a) for a, _ in rows])
-        self.at = np.concatenate([a for a, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.x = np.concatenate([v for _, v in rows]).astype(np.float64) if rows else np.zeros(0)
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, x: np.ndarray, width: int):
+        """sizes: features of each row; at, x: their places and values, row after row."""
+        self.n, self.width = len(sizes), width
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.at, self.x = at, x
 
     def odds(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.x * w[self.at], self.n) + w[-1]
@@ -208,9 +208,9 @@ def _features(docs: DataFrame) -> DataFrame:
                 part = pdf.iloc[i : i + DOCS]
                 sparse = view.sparse(list(part["text"]))
                 meta = meta_features(part["source"], part["lang"], part["n_chars"])
-                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "at": [a.tolist() for a, _ in sparse], "x": [v.tolist() for _, v in sparse], "meta": [m.tolist() for m in meta]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "at": [a.astype("<i4").tobytes() for a, _ in sparse], "x": [v.astype("<f4").tobytes() for _, v in sparse], "meta": [m.astype("<i4").tobytes() for m in meta]})
 
-    return docs.mapInPandas(make, "doc_id bigint, y double, at array<int>, x array<float>, meta array<int>")
+    return docs.mapInPandas(make, "doc_id bigint, y double, at binary, x binary, meta binary")
 
 
 def _columns(docs: DataFrame) -> list:
@@ -228,21 +228,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     chosen = marked.where("y is not null").orderBy(*order).limit(labelled).unionByName(marked.where("y is null").orderBy(*order).limit(pool))
     # Bounded by the two limits, so it may be broadcast.
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *_columns(docs)).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = _features(picked).toPandas().sort_values("doc_id").reset_index(drop=True)
+    got = _features(picked).toArrow().sort_by("doc_id").to_pandas()
     if not len(got):
         return None
-    text = Rows([(np.asarray(a, np.int64), np.asarray(x)) for a, x in zip(got["at"], got["x"], strict=True)], TEXT)
-    meta = Rows([(np.asarray(m, np.int64), np.ones(len(m))) for m in got["meta"]], META)
-    return co_train(text, meta, got["y"].to_numpy(float), rounds)
+    whole = lambda c, kind: np.frombuffer(b"".join(got.pop(c)), kind)
+    sizes, n, y = got["at"].map(len).to_numpy() // 4, got["meta"].map(len).to_numpy() // 4, got["y"].to_numpy(float)
+    text = Rows(sizes, whole("at", "<i4"), whole("x", "<f4"), TEXT)
+    meta = Rows(n, whole("meta", "<i4"), np.ones(n.sum(), np.float32), META)
+    del got
+    return co_train(text, meta, y, rounds)
 
 
-def _judged(batches, model: CoTrained | None, threshold: float):
+def _judged(batches, model: CoTrained | None, threshold: float, text: str = "text"):
     """Pandas batches with text_score, meta_score, score and kept of their rows."""
     view = TextView()
     for pdf in batches:
         for i in range(0, len(pdf), DOCS):
             part = pdf.iloc[i : i + DOCS]
-            texts = list(part["text"])
+            texts = list(part[text])
             if model is None:
                 sizes = np.array([len(x.encode("utf-8", "surrogatepass").split()) if x else 0 for x in texts])
                 a, b, p = np.zeros(len(part)), np.zeros(len(part)), np.full(len(part), 0.5)
@@ -271,13 +274,13 @@ def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0
 def keep_good(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the classifier keeps, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    # The row itself travels beside what is judged, so its columns may have any names.
+    # The row itself travels beside the metadata, so its columns may have any names.
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    judged = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("text").alias("text"), *_columns(docs))
+    judged = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), *_columns(docs))
     schema = T.StructType([T.StructField(names[f.name], f.dataType) for f in docs.schema.fields])
 
     def judge(batches):
-        for part, got in _judged(batches, shared.value, threshold):
+        for part, got in _judged(batches, shared.value, threshold, names["text"]):
             yield part.loc[got["kept"], list(names.values())]
 
     return judged.mapInPandas(judge, schema).toDF(*docs.columns)

@@ -212,6 +212,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, scratch: Scratch, e
         shard = TaskContext.get().partitionId()
         path = f"{root}/shard-{shard:07d}.tok"
         made = write_shard(path, encoded())
+        tokens.rest()
         if made["docs"]:
             out = pd.DataFrame([{"shard": shard, "path": path} | made])
             yield out.astype({"first_key": "Int64", "last_key": "Int64"})

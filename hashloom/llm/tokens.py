@@ -50,6 +50,12 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def rest(self) -> None:
+        """Gives memory back at the end of a task, as workers are used again."""
+        if len(self.known) > self.keep:
+            self._forget()
+        pa.default_memory_pool().release_unused()
+
     def _forget(self) -> None:
         self.known = dict(islice(self.known.items(), self.keep))
         self.used = int(self.begin[self.keep])
