@@ -63,7 +63,7 @@ def relation(spark: SparkSession, n: int, seed: int, max_key: int, distribution:
             key = F.when(die < HEAVY_PERCENT, lit64(max_key // 3)).otherwise(value)
         elif distribution == "step_skew":
             key = _tiers(die, value, max_key)
-        if max_key:
+        if max_key and distribution != "step_skew":  # its tiers end at max_key
             key = umod(key, max_key)
         return drawn.select("id", key.alias("key"))
 
