@@ -54,7 +54,7 @@ def op6_multi_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_fuzzy_lines(spark: SparkSession, d: str) -> DataFrame:
-    done = dedup_lines(table(spark, d, "documents"))
+    done = dedup_lines(table(spark, d, "documents"), whole=True)
     return done.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__lines").alias("n_lines"), F.col("__grouped").alias("n_grouped"),
         F.size("__removed").cast("bigint").alias("n_removed"), F.array_join(F.col("__removed").cast("array<string>"), ",").alias("removed"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
