@@ -30,7 +30,9 @@ from hashloom.llm.common import pieces, text_bytes
 from hashloom.llm.tokens import encoder
 
 WINDOW, SHARD_DOCS, SHARD_CHARS, TASK_BYTES = 2048, 2048, 16 << 20, 48 << 20
-K1, B, TERMS = 1.2, 0.75, 12
+K1, B = 1.2, 0.75
+#: Terms in more than one of so many documents have their weights in rows of all documents.
+DENSE = 16
 
 
 class Index:
@@ -49,25 +51,29 @@ class Index:
         norm = K1 * (1 - B + B * sizes[doc] / max(sizes.mean(), 1)) if n else 0
         self.n, self.df = n, df
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
-        # By document, to choose a seed's terms; by term, the postings.
-        self.terms, self.weights = term, weight
+        # By document, a seed's terms; by term, the postings.
+        self.terms = term
         self.rows = np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(term, kind="stable")
         self.docs, self.scores = doc[order], weight[order]
         self.posts = np.concatenate([[0], np.cumsum(df)])
+        often = np.flatnonzero(df * DENSE > n)
+        self.row = np.full(vocabulary, -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.float32)
+        place = self.row[term]
+        self.dense[place[place >= 0], doc[place >= 0]] = weight[place >= 0]
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Score of each document for the seed's weightiest terms that others share."""
-        a, b = self.rows[seed], self.rows[seed + 1]
-        terms, weights = self.terms[a:b], self.weights[a:b]
-        shared = self.df[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(-weights, TERMS)[:TERMS]]
-        out = np.zeros(self.n, np.float32)
-        for t in terms:
-            a, b = self.posts[t], self.posts[t + 1]
-            out[self.docs[a:b]] += self.scores[a:b]
+        """BM25 score of each document for all terms of the seed that others share."""
+        terms = self.terms[self.rows[seed] : self.rows[seed + 1]]
+        terms = terms[self.df[terms] > 1]
+        row = self.row[terms]
+        out = self.dense[row[row >= 0]].sum(0, dtype=np.float32)
+        terms = terms[row < 0]
+        size = self.df[terms]
+        at = np.arange(size.sum()) + np.repeat(self.posts[terms] - np.cumsum(size) + size, size)
+        out += np.bincount(self.docs[at], self.scores[at], self.n).astype(np.float32)
         return out
 
 

@@ -104,3 +104,24 @@ def test_packing_odd_texts(documents, lib):
     docs = list(enumerate(ODD)) + [(3, "a  b"), (None, "z"), (None, "z")]
     check_packed(pack(documents(docs), default_path()).collect(), docs, lib)
     assert pack(documents([]), default_path()).count() == 0
+
+
+def test_neighbours_by_all_terms():
+    """Scores of whole BM25, of documents that share more terms than a dozen."""
+    import math
+
+    from hashloom.llm.packing import K1, B, Index
+
+    rng = np.random.default_rng(5)
+    ids = [np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 499).astype(np.uint16) for _ in range(90)]
+    index, n, mean = Index(ids, 500), len(ids), sum(map(len, ids)) / len(ids)
+    sets = [set(x.tolist()) for x in ids]
+    df = {t: sum(t in s for s in sets) for t in set().union(*sets)}
+    for seed in range(0, n, 9):
+        want = np.zeros(n)
+        for i, x in enumerate(ids):
+            for t in sets[seed] & sets[i]:
+                if df[t] > 1:
+                    tf = int((x == t).sum())
+                    want[i] += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
+        assert np.allclose(index.neighbours(seed), want, rtol=1e-4)
