@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,12 @@ def words(text: str | None) -> list[bytes]:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only where it
-    is unset, as in a local test, is a temporary folder set in its place."""
+    is unset, as in a local test, is a temporary folder set in its place; on a
+    cluster that is an error, as executors would not find each other's files."""
     found = spark.conf.get(_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {_DIR} to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="hashloom-")
         spark.conf.set(_DIR, found)
     return found
@@ -68,15 +73,51 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """df, marked for broadcasting if it has at most so many (narrow) rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """df, marked for broadcasting if its rows are counted at so many bytes at most:
+    16 a column, and what strings, binaries and arrays hold. df is best a saved table."""
+    held = [F.octet_length(f"`{c}`") if t in ("string", "binary") else F.greatest(F.size(f"`{c}`"), F.lit(0)) * 8 for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
+    row = sum((F.coalesce(x, F.lit(0)) for x in held), F.lit(16 * (1 + len(df.columns))))
+    size = df.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= most else df
 
 
-def semi_join(df: DataFrame, ids: DataFrame, on: str, most: int = 1 << 21) -> DataFrame:
+def semi_join(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """The rows of df whose key is in ids (distinct, with that one column). ids
-    are broadcast if they are counted at ``most`` at most, and shuffled beyond."""
-    return df.join(small(ids, most), on, "left_semi")
+    are broadcast if they are small, and shuffled beyond."""
+    return df.join(small(ids), on, "left_semi")
+
+
+#: Bytes that an Arrow batch to a Python worker holds, but for single rows beyond that.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Has batches go to Python workers at a bounded size, whatever the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns the free memory of a Python worker to the system, as workers are used again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, a function for mapInPandas or mapInArrow, that gives memory back at the end of its task."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def text_bytes(df: DataFrame) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import hashloom
 from hashloom.llm import oracles
-from hashloom.llm.common import Scratch, held_out
+from hashloom.llm.common import Scratch, bounded, held_out
 from hashloom.llm.context_mixing import score_texts
 from hashloom.llm.impact_topk import impact_top_k
 from hashloom.llm.language_id import identify, learn
@@ -79,7 +79,9 @@ QUERIES = (op1_impact_topk, op2_fair_mix, op3_context_mixing, op4_token_store, o
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and
+    bounds the bytes of what they get at once."""
+    bounded(spark)
     root, env = str(Path(hashloom.__file__).resolve().parents[1]), spark.sparkContext.environment
     paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if root not in paths:

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import Scratch, pieces, text_bytes
+from hashloom.llm.common import Scratch, pieces, text_bytes, tidy
 from hashloom.llm.tokens import encoder
 
 MAGIC = b"HLTOKEN1"
 #: Bytes of text that go to a shard, on average.
 SHARD_BYTES = 32 << 20
 LEVEL_LOAD, LEVELS = 2.0, 60
-BATCH = 1000
+BATCH = 2000
 
 
 def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -195,6 +195,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, root: str, scratch: Scratch, e
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     placed = rows.repartitionByRange(pieces(text_bytes(rows), shard_bytes), *order).sortWithinPartitions(*order, "text")
 
+    @tidy
     def write(batches):
         from pyspark import TaskContext
 
@@ -230,6 +231,7 @@ def read_tokens(manifest: DataFrame, raw: bool = False) -> DataFrame:
     Each document with an id is fetched through the hash by its key; the row it
     gives must be the document's, or the first of those that share the id."""
 
+    @tidy
     def read(batches):
         for pdf in batches:
             for path, base in zip(pdf["path"], pdf["base"], strict=True):

@@ -3,7 +3,9 @@
 Byte-level BPE splits a text into pieces before merging, and a piece never
 spans the gap before a space that follows a non-space. So a text is cut there,
 and each distinct cut is encoded by the library once and remembered. The
-result equals encoding the whole text.
+result equals encoding the whole text. Texts in which the string of an added
+token stands (special ones among them) are encoded whole, as is every text
+where the tokenizer does not split by ByteLevel.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 _ODD, _GAP = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 #: Chunks remembered: beyond MOST, all but the first KEEP are forgotten. The
 #: first ones met are mostly the frequent ones; it only saves time.
-MOST, KEEP = 600_000, 300_000
+MOST, KEEP = 300_000, 150_000
 #: Chunks encoded in one call of the library.
 JOINED = 64
 
@@ -32,14 +34,16 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Token ids of texts; special tokens' strings in a text are ordinary text."""
+    """Token ids of texts, as the library's encode(text, add_special_tokens=False) has them."""
 
     def __init__(self, path: str, most: int = MOST, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [x.content for x in self.lib.get_added_tokens_decoder().values() if x.content]
+        # An added token with white space in it could come of chunks that are joined.
+        self.cuts = type(self.lib.pre_tokenizer).__name__ == "ByteLevel" and self.lib.normalizer is None and not any(re.search(r"\s", x) for x in self.added)
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         # In byte-level BPE a letter of a token's name stands for a byte.
         self.bytes = np.zeros(self.lib.get_vocab_size(), np.int64)
@@ -54,11 +58,11 @@ class Encoder:
         """Gives memory back at the end of a task, as workers are used again."""
         if len(self.known) > self.keep:
             self._forget()
-        pa.default_memory_pool().release_unused()
 
     def _forget(self) -> None:
         self.known = dict(islice(self.known.items(), self.keep))
         self.used = int(self.begin[self.keep])
+        self.flat, self.begin, self.size = self.flat[: max(self.used, 1)].copy(), self.begin[: self.keep + 1].copy(), self.size[: self.keep + 1].copy()
 
     def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -82,9 +86,9 @@ class Encoder:
         ids, sizes, chunks = np.concatenate([ids, more]), np.concatenate([sizes, others]), inside + edge
         n, at, total = len(self.known), self.used, len(ids)
         while at + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(1 << 16, len(self.flat) // 2), self.dtype)])
         while n + len(chunks) >= len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+            self.begin, self.size = (np.concatenate([x, np.zeros(max(1 << 14, len(x) // 2), np.int64)]) for x in (self.begin, self.size))
         self.flat[at : at + total] = ids
         self.size[n : n + len(chunks)] = sizes
         self.begin[n : n + len(chunks) + 1] = at + np.concatenate([[0], np.cumsum(sizes)])
@@ -96,8 +100,19 @@ class Encoder:
         texts = [x or "" for x in texts]
         if not texts:
             return []
+        if not self.cuts:
+            return [self._whole(x) for x in texts]
         if len(self.known) > self.most:
             self._forget()
+        marked = [i for i, x in enumerate(texts) if any(a in x for a in self.added)]
+        if marked:
+            whole, texts = {i: self._whole(texts[i]) for i in marked}, list(texts)
+            for i in marked:
+                texts[i] = ""
+            out = self.encode(texts)
+            for i, ids in whole.items():
+                out[i] = ids
+            return out
         # In a text with a space after white space the cuts stand elsewhere.
         odd = [i for i, x in enumerate(texts) if _ODD.search(x)]
         plain = pa.array(texts, pa.large_string())
@@ -123,6 +138,9 @@ class Encoder:
             out[i] = self._odd(texts[i])
         return out
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype)
+
     def _odd(self, text: str) -> np.ndarray:
         ids, _ = self._alone(_GAP.split(text))
         return ids.astype(self.dtype)

@@ -125,3 +125,39 @@ def test_neighbours_by_all_terms():
                     tf = int((x == t).sum())
                     want[i] += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))
         assert np.allclose(index.neighbours(seed), want, rtol=1e-4)
+
+
+def test_special_tokens_as_the_library_has_them():
+    """Against an instance that nothing has touched, whatever surrounds the special token."""
+    from tokenizers import Tokenizer
+
+    fresh, special = Tokenizer.from_file(default_path()), "<|endoftext|>"
+    texts = ["plain text", *(f"{a}{special}{b}" for a in ("", "a", "a ", "a  ", "\n", "x" + special) for b in ("", "b", " b", "  b", "\n", special + " z")), special[:-1], "<|endoftext |>", "many words " * 500 + special + " end"]
+    want = [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in Encoder(default_path()).encode(texts)] == want
+    assert sum(50256 in x for x in want) == 37
+
+
+def test_term_counts_of_long_documents(monkeypatch):
+    from hashloom.llm import packing
+
+    rng = np.random.default_rng(2)
+    ids = [rng.integers(0, 50, n).astype(np.uint16) for n in (3, 900, 1, 1000, 5, 40)]
+    want = packing.counted(ids, 50)
+    monkeypatch.setattr(packing, "LONG", 500)
+    assert all((a == b).all() for a, b in zip(want, packing.counted(ids, 50), strict=True))
+
+
+def test_related_documents_meet(spark, documents):
+    """Documents that share rare words are dealt next to each other, and share windows."""
+    from tokenizers import Tokenizer
+
+    rng, fresh = random.Random(4), Tokenizer.from_file(default_path())
+    single = [w[1:] for w in (fresh.decode([i]) for i in range(1000, 40_000)) if w[:1] == " " and w[1:].isalpha()]
+    common = single[:300]
+    topics = [single[300 + 30 * k : 330 + 30 * k] for k in range(5)]
+    docs = [(i, " ".join(rng.choice(topics[i % 5] if rng.random() < 0.5 else common) for _ in range(60))) for i in range(400)]
+    by_sequence = defaultdict(set)
+    for r in pack(documents(docs), default_path()).collect():
+        by_sequence[r["sequence_id"]].add(r["doc_id"] % 5)
+    assert np.mean([len(x) for x in by_sequence.values()]) < 3.5  # some 30 documents each: by chance 5
