@@ -51,8 +51,8 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
+    def save(self, df: DataFrame, table: str, compression: str = "zstd") -> DataFrame:
+        df.write.mode("overwrite").option("compression", compression).parquet(self.path(table))
         return self.load(table, df.schema)
 
     def load(self, table: str, schema: T.StructType) -> DataFrame:

@@ -243,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, ids: bool = True) ->
     spark = docs.sparkSession
     tokens = encoder(tokenizer)
     vocabulary, kind = tokens.lib.get_vocab_size(), tokens.dtype.str
-    saved = Scratch(spark, "packing").save(encoded(docs, tokenizer, end_id), "encoded")
+    saved = Scratch(spark, "packing").save(encoded(docs, tokenizer, end_id), "encoded", "snappy")
     # At most one row a term of the vocabulary.
     told = saved.where("ids is null").select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df")).toPandas()
     df = np.zeros(vocabulary, np.int64)

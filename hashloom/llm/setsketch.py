@@ -5,27 +5,30 @@ the least of exponentially distributed hashes over the set, on an exponential
 scale and truncated: K = min(q + 1, max(0, floor(1 - log_b(x)))). Registers of
 two sets merge by their maximum, and agree about as often as the sets do.
 
-Texts with the same set are one class, which its smallest id stands for. The
-registers are banded; texts that share a band of six registers are candidates.
-At similarity 0.8 a pair is missed by all 40 bands once in 190,000. First each
-candidate is matched with the smallest member of the buckets it shares most
-often, which links most groups to stars without pairing their members. Then
-only buckets that still hold more than one component are looked into: a
-bucket's largest component is cut into chunks, the other members meet each
-chunk, and pairs are estimated by the joint likelihood of their registers
-(given both sizes) before the exact sets are compared. A pair is compared only
-in the first band it shares, and only while its ends are not linked; so what
-comes out of a bucket is at most one row a member, and no link is lost.
+Texts with the same set (128 bits of hash and size) are one class, numbered
+once when the table of classes is written. The registers are banded; classes
+that share a band of six registers are candidates. At similarity 0.8 a pair is
+missed by all 40 bands once in 190,000. First each candidate is matched with
+the smallest member of the buckets it shares most often, which links most
+groups to stars without pairing their members. Then only buckets that still
+hold more than one component are looked into: their members are dealt to cells
+(see buckets), and pairs are estimated by the joint likelihood of their
+registers (given both sizes) before the exact sets are compared. A pair is
+compared only in the first band it shares, and only while its ends are not
+linked; so what comes out of a bucket is at most one row a member and cell,
+and no link is lost.
 
 All links are confirmed on whole sets of 64-bit shingle hashes. Nulls: a null
 text, or one without words, has an empty set and is linked with nothing; with
 fewer words than a shingle has, the words as a whole are the one shingle. Rows
-with a null id are their own component (null). Rows that repeat an id are one
-node: their links are joined.
+with a null id are their own component (null), and link nothing. Rows that
+repeat an id keep their classes apart while links are searched; in the end the
+id is one node, to which the links of all its texts belong.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import Scratch, coded_words, hash_of, semi_join, small
+from hashloom.llm.buckets import CELL, cells, groups, meetings
+from hashloom.llm.common import Scratch, coded_words, small, tidy
 from hashloom.llm.components import components
 
 BANDS, PER_BAND = 40, 6
@@ -42,7 +46,11 @@ REGISTERS = BANDS * PER_BAND
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Estimates this much below the threshold are still compared; five standard deviations.
 MARGIN = 0.13
-CHUNK, DOCS, SLICE = 2048, 500, 2048
+#: So much further below, the share of equal registers alone rules a pair out.
+FURTHER = 0.1
+#: Load of a cell's chunk: a member counts 1, and 1 more for each SHINGLES of its set.
+CHUNK, SHINGLES = 2048, 512
+DOCS, SLICE = 500, 2048
 
 _RNG = np.random.default_rng(20240229)
 _FLIPS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -110,76 +118,57 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _print(hashes: np.ndarray) -> tuple[int, int]:
+    x = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (two words of 64 bits), regs of every text."""
+    """doc_id, print (hash of the text), n_shingles, h1 and h2 (hash of the set), regs of every text."""
 
+    @tidy
     def make(batches):
         for pdf in batches:
             for i in range(0, len(pdf), DOCS):
                 part = pdf.iloc[i : i + DOCS]
                 sets = shingles(list(part["text"]), width)
-                prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                signed = lambda x: x - (1 << 64) if x >> 63 else x
+                prints = list(map(_print, sets))
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "n_shingles": [len(s) for s in sets],
-                    "h1": [signed(x >> 64) for x in prints], "h2": [signed(x & ((1 << 64) - 1)) for x in prints],
-                    "regs": [registers(s).tobytes() if len(s) else None for s in sets],
+                    "doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "print": part["print"].to_numpy(), "n_shingles": [len(s) for s in sets],
+                    "h1": [x for x, _ in prints], "h2": [x for _, x in prints], "regs": [registers(s).tobytes() if len(s) else None for s in sets],
                 })
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(make, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, regs binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
+    return rows.mapInPandas(make, "doc_id bigint, print bigint, n_shingles bigint, h1 bigint, h2 bigint, regs binary")
 
 
-def _with_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, hashes of the texts with the given ids (distinct)."""
+def _with_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, hashes of the classes with the given ids (distinct)."""
 
+    @tidy
     def make(batches):
         for pdf in batches:
             for i in range(0, len(pdf), DOCS):
                 part = pdf.iloc[i : i + DOCS]
-                yield pd.DataFrame({"id": part["id"], "hashes": [s.tobytes() for s in shingles(list(part["text"]), width)]})
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    return semi_join(rows, ids, "id").mapInPandas(make, "id bigint, hashes binary").dropDuplicates(["id"])
-
-
-def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of batches that are sorted by the given columns."""
-    kept: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        keys = pdf[by].to_numpy()
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(pdf)]
-        for a, b in zip(cuts, cuts[1:]):
-            part = pdf.iloc[a:b]
-            if kept and (kept[-1][by].iloc[-1].to_numpy() != keys[a]).any():
-                yield pd.concat(kept) if len(kept) > 1 else kept[0]
-                kept = []
-            kept.append(part)
-    if kept:
-        yield pd.concat(kept) if len(kept) > 1 else kept[0]
-
-
-class Links:
-    """Which members of a bucket hang together."""
-
-    def __init__(self, of: np.ndarray):
-        _, self.up = np.unique(of, return_inverse=True)
-        self.top = {i: i for i in set(self.up.tolist())}
-
-    def root(self, i: int) -> int:
-        x = int(self.up[i])
-        while self.top[x] != x:
-            self.top[x] = x = self.top[self.top[x]]
-        return x
+                sets = shingles(list(part["text"]), width)
+                # A row that repeats the id may have another text.
+                mine = [_print(s) == x for s, x in zip(sets, zip(part["h1"], part["h2"], strict=True), strict=True)]
+                yield pd.DataFrame({"id": part["id"], "hashes": [s.tobytes() for s in sets]})[mine]
 
-    def join(self, i: int, j: int) -> None:
-        self.top[self.root(i)] = self.root(j)
+    wanted = classes.join(ids, "id").select("id", "h1", "h2", F.col("least").alias("doc_id"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.join(small(wanted), "doc_id").select("id", "h1", "h2", "text").mapInPandas(make, "id bigint, hashes binary").dropDuplicates(["id"])
 
 
 def _likely(regs: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Of others, those whose estimate with i may reach the threshold, best first."""
     others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+    same = (regs[others] == regs[i]).sum(1)
+    others = others[same >= (percent / 100 - MARGIN - FURTHER) * REGISTERS]
     if not len(others):
         return others
     e = estimate(np.broadcast_to(regs[i], (len(others), REGISTERS)), regs[others], np.full(len(others), n[i], float), n[others].astype(float))
@@ -187,47 +176,52 @@ def _likely(regs: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, percent
     return others[good][np.argsort(-e[good], kind="stable")]
 
 
-def _first_band(a: np.ndarray, b: np.ndarray) -> int:
-    return int((a.reshape(BANDS, PER_BAND) == b.reshape(BANDS, PER_BAND)).all(1).argmax())
+def _first_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band that a shares with each row of b."""
+    return (a.reshape(BANDS, PER_BAND) == b.reshape(-1, BANDS, PER_BAND)).all(2).argmax(1)
 
 
 def _searched(group: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member outside the bucket's largest component, the members of
-    other components that it is likely to be linked with and meets here first."""
+    """For members of a cell, those of other components that they are likely to
+    be linked with and meet in this band first."""
     regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(len(group), REGISTERS)
-    n, comp, band = group["n"].to_numpy(np.int64), group["comp"].to_numpy(), int(group["band"].iloc[0])
-    main, chunk = group["main"].to_numpy(bool), int(group["chunk"].iloc[0])
-    for i in np.flatnonzero(~main):
-        # Others meet each other in chunk 0 only, each pair from its earlier end.
-        others = np.flatnonzero((comp != comp[i]) & (main | ((chunk == 0) & (np.arange(len(group)) > i))))
-        found = [j for j in _likely(regs, n, i, others, percent) if _first_band(regs[i], regs[j]) == band]
-        if found:
-            yield int(i), np.array(found)
-
-
-def _members(bands: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, band, chunk, id, comp, main of buckets with more than one component;
-    members outside the largest component are repeated for each of its chunks."""
-    known = bands.join(comps.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    per = known.groupBy("key", "band", "comp").agg(F.count("*").alias("m"))
-    stats = per.groupBy("key", "band").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("most")).where("comps > 1")
-    stats = stats.select("key", "band", F.col("most.comp").alias("largest"), F.ceil(F.col("most.m") / CHUNK).cast("int").alias("chunks"))
-    rows = known.join(stats, ["key", "band"]).withColumn("main", F.col("comp") == F.col("largest"))
-    own = F.array(F.pmod(hash_of("id"), F.col("chunks")).cast("int"))
-    return rows.withColumn("chunk", F.explode(F.when(F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))).select("key", "band", "chunk", "id", "comp", "main")
+    n, comp, part = group["n"].to_numpy(np.int64), group["comp"].to_numpy(), group["part"].to_numpy()
+    band, own = int(group["band"].iloc[0]), bool(group["own"].iloc[0])
+    for i, others in meetings(part, comp, own):
+        found = _likely(regs, n, i, others, percent)
+        if len(found):
+            found = found[_first_bands(regs[i], regs[found]) == band]
+        if len(found):
+            yield int(i), found
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach), kept."""
+class Links:
+    """Which members of a bucket hang together."""
+
+    def __init__(self, of: np.ndarray):
+        _, self.up = np.unique(of, return_inverse=True)
+        self.top = {i: i for i in set(self.up.tolist())}
+
+    def root(self, i: int) -> int:
+        x = int(self.up[i])
+        while self.top[x] != x:
+            self.top[x] = x = self.top[self.top[x]]
+        return x
+
+    def join(self, i: int, j: int) -> None:
+        self.top[self.root(i)] = self.root(j)
+
+
+def _classes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, print, n_shingles, h1, h2 of every text; id, least (smallest doc_id),
+    h1, h2 of the classes; and links (a, b) of classes."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "setsketch")
     made = scratch.save(sketch(docs, width), "sketches")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    classes = made.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
-    reps = scratch.save(classes.select("id", F.col("n_shingles").alias("n"), "h1", "h2", "regs"), "classes")
-    # A row that repeats an id may stand for two classes; both are the id's node.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = made.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("regs").alias("regs"))
+    reps = scratch.save(numbered.select(F.monotonically_increasing_id().alias("id"), "least", F.col("n_shingles").alias("n"), "h1", "h2", "regs"), "classes")
     cut = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("regs", 2 * PER_BAND * b + 1, 2 * PER_BAND)).alias("key")) for b in range(BANDS)]
-    banded = reps.select("id", F.explode(F.array(*cut)).alias("c")).select("id", "c.band", "c.key")
+    banded = reps.select("id", "n", F.explode(F.array(*cut)).alias("c")).select("id", "n", "c.band", "c.key")
     buckets = banded.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1").select("key", "band", "least")
     shared = scratch.save(banded.join(buckets, ["key", "band"]), "buckets")
 
@@ -235,10 +229,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     often = shared.where("id <> least").groupBy("id", "least").agg(F.count("*").alias("times"))
     pairs = scratch.save(often.groupBy("id").agg(F.max(F.struct("times", (-F.col("least")).alias("l"))).alias("best")).select("id", (-F.col("best.l")).alias("least")), "stars")
     ids = pairs.select("id").union(pairs.select("least")).distinct()
-    sets = _with_sets(docs, scratch.save(ids, "star-ids"), width)
-    sets = scratch.save(sets, "star-sets")
+    sets = scratch.save(_with_sets(docs, reps, ids, width), "star-sets")
     a, b = sets.withColumnRenamed("hashes", "ha"), sets.select(F.col("id").alias("least"), F.col("hashes").alias("hb"))
 
+    @tidy
     def confirm(batches):
         for pdf in batches:
             ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pdf["ha"], pdf["hb"], strict=True)]
@@ -248,56 +242,92 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     comps = components(links, scratch, "stars")
 
     # Buckets that the stars have left in pieces.
-    members = scratch.save(_members(shared, comps), "members")
-    looked = members.join(reps.select("id", "n", "regs").dropDuplicates(["id"]), "id")
-    order = ["key", "band", "chunk"]
-    sorted_ = lambda df: df.repartition(int(parts), *order).sortWithinPartitions(*order, "id")
+    load = shared.select("key", "band", "id", (1 + F.floor(F.col("n") / SHINGLES)).alias("load"))
+    members = scratch.save(cells(load, comps, CHUNK), "members")
+    looked = members.join(reps.select("id", "n", "regs"), "id")
+    sorted_ = lambda df: df.repartition(parts, *CELL).sortWithinPartitions(*CELL, "id")
+    columns = [*CELL, "id", "comp", "part", "own", "n", "regs"]
 
+    @tidy
     def search(batches):
-        for group in _groups(batches, order):
+        for group in groups(batches, CELL):
             at: set[int] = set()
             for i, found in _searched(group, percent):
                 at.update([i, *found.tolist()])
             if at:
-                yield group.iloc[sorted(at)][["key", "band", "chunk", "id", "comp", "main", "n", "regs"]]
+                yield group.iloc[sorted(at)][columns]
 
-    schema = "key bigint, band int, chunk int, id bigint, comp bigint, main boolean, n bigint, regs binary"
+    schema = "key bigint, band int, a int, b int, id bigint, comp bigint, part int, own boolean, n bigint, regs binary"
     likely = scratch.save(sorted_(looked).mapInPandas(search, schema), "likely")
-    more_sets = _with_sets(docs, scratch.save(likely.select("id").distinct(), "likely-ids"), width)
+    more_sets = _with_sets(docs, reps, likely.select("id").distinct(), width)
 
+    @tidy
     def compare(batches):
-        for group in _groups(batches, order):
+        for group in groups(batches, CELL):
             group, out = group.reset_index(drop=True), []
-            links = Links(group["comp"].to_numpy())
+            linked = Links(group["comp"].to_numpy())
             sets = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
             ids = group["id"].to_numpy()
             for i, found in _searched(group, percent):
                 for j in found:
-                    if links.root(i) != links.root(j) and alike(sets[i], sets[j], percent):
-                        links.join(i, j)
+                    if linked.root(i) != linked.root(j) and alike(sets[i], sets[j], percent):
+                        linked.join(i, j)
                         out.append((ids[i], ids[j]))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
     more = sorted_(likely.join(more_sets, "id")).mapInPandas(compare, "a bigint, b bigint")
     all_links = scratch.save(links.unionByName(more), "links")
-    # Rows of one id in several classes tie these together.
-    of = made.where("n_shingles > 0 and doc_id is not null").join(reps.select("id", "n", "h1", "h2"), on=["h1", "h2"]).where("n = n_shingles").select("doc_id", "id")
-    whole = components(all_links.unionByName(of.select(F.col("doc_id").alias("a"), F.col("id").alias("b"))), scratch, "all")
-    final = made.select("doc_id", "n_shingles").join(whole, made["doc_id"] == whole["id"], "left")
-    component = F.coalesce("component", "doc_id")
-    return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return made.drop("regs"), reps.select("id", "least", F.col("n").alias("n_shingles"), "h1", "h2"), all_links
+
+
+def _smallest(classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """h1, h2, n_shingles, component_id (the smallest doc_id of the class's component)."""
+    of = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return of.join(least, "component").select("h1", "h2", "n_shingles", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach), kept."""
+    scratch = Scratch(docs.sparkSession, "setsketch")
+    made, classes, links = _classes(docs, scratch, width, percent)
+    keys = ["h1", "h2", "n_shingles"]
+    told = made.where("doc_id is not null and n_shingles > 0").join(classes, keys).select("doc_id", "id")
+    # An id with several texts ties their classes together.
+    several = told.groupBy("doc_id").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("doc_id", "first")
+    ties = told.join(several, "doc_id").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    comps = components(links.unionByName(scratch.save(ties, "ties")), scratch, "all")
+    by_class = made.join(_smallest(classes, comps), keys, "left").select("doc_id", "n_shingles", "component_id")
+    # Texts of an id without words go by the id's other texts, if it has any.
+    empty = scratch.save(by_class.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct(), "empty")
+    other = by_class.where("component_id is not null").join(small(empty), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("other"))
+    component = F.coalesce("component_id", "other", "doc_id")
+    final = by_class.join(small(scratch.save(other, "other")), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return final.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates; of rows that
-    repeat an id, one. Documents without an id stay."""
+    """docs with one row of each group of near-duplicates: of its texts the first
+    by doc_id, then by the text's hash. A row goes only for what its own text
+    repeats. Rows without an id, and texts without words, stay; of rows that
+    repeat both id and text one stays."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.save(near_duplicates(docs, width, percent), "found")
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(small(gone, 1 << 21), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not repeated.take(1):
-        return left
-    twice = left.join(small(repeated), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+    made, classes, links = _classes(docs, scratch, width, percent)
+    keys = ["h1", "h2", "n_shingles"]
+    comps = components(links, scratch, "all")
+    of = classes.join(comps, "id", "left").select(*keys, F.coalesce("component", "id").alias("__component"))
+    texts = made.where("doc_id is not null and n_shingles > 0").join(of, keys).select("doc_id", "print", "__component")
+    told = scratch.save(texts, "told")
+    first = told.groupBy("__component").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    gone = told.join(first, "__component").where("first.doc_id <> doc_id or first.print <> print").select("doc_id", "print").distinct()
+    twice = told.groupBy("doc_id", "print").agg(F.count("*").alias("m")).where("m > 1").select("doc_id", "print")
+    names = docs.columns
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("doc_id").cast("bigint").alias("__id"), F.xxhash64("text").alias("__print"))
+    at = lambda df: small(scratch.save(df.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")), f"at-{uuid.uuid4().hex}"))
+    left = rows.join(at(gone), ["__id", "__print"], "left_anti")
+    repeated = at(twice)
+    if repeated.take(1):
+        once = left.join(repeated, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"])
+        left = left.join(repeated, ["__id", "__print"], "left_anti").unionByName(once)
+    return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_ODD, _GAP = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+_GAP = re.compile(r"(?<=\S)(?= )")
 #: Chunks remembered: beyond MOST, all but the first KEEP are forgotten. The
 #: first ones met are mostly the frequent ones; it only saves time.
 MOST, KEEP = 300_000, 150_000
@@ -52,7 +52,8 @@ class Encoder:
         self.most, self.keep = most, keep
         self.known: dict[str, int] = {}  # chunks after a space, without it
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        # Of each chunk: its first id in flat, its ids, and whether it is empty or ends in white space.
+        self.begin, self.size, self.edge = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
 
     def rest(self) -> None:
         """Gives memory back at the end of a task, as workers are used again."""
@@ -62,38 +63,44 @@ class Encoder:
     def _forget(self) -> None:
         self.known = dict(islice(self.known.items(), self.keep))
         self.used = int(self.begin[self.keep])
-        self.flat, self.begin, self.size = self.flat[: max(self.used, 1)].copy(), self.begin[: self.keep + 1].copy(), self.size[: self.keep + 1].copy()
+        self.flat = self.flat[: max(self.used, 1)].copy()
+        self.begin, self.size, self.edge = (x[: self.keep + 1].copy() for x in (self.begin, self.size, self.edge))
 
     def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum())), sizes
 
-    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, chunks: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks after spaces, one after the other, and how many each has.
 
         Such chunks may stand beside each other in one call; the bytes of
         chunks and of tokens tell which ids belong to which."""
         ids, _ = self._alone([" " + " ".join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)])
-        ends = np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogatepass")) for c in chunks), np.int64, len(chunks)) + 1)
-        upto = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")
+        upto = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(lengths + 1), side="right")
         return ids, np.diff(upto, prepend=0)
 
-    def _learn(self, chunks: list[str]) -> None:
-        edge = [c for c in chunks if not c or c[-1].isspace()]
-        inside = [c for c in chunks if c and not c[-1].isspace()] if edge else chunks
-        (ids, sizes), (more, others) = self._joined(inside), self._alone([" " + c for c in edge])
-        ids, sizes, chunks = np.concatenate([ids, more]), np.concatenate([sizes, others]), inside + edge
-        n, at, total = len(self.known), self.used, len(ids)
+    def _learn(self, chunks: list[str], lengths: np.ndarray) -> None:
+        """Remembers chunks, whose UTF-8 has the given lengths."""
+        edge = np.fromiter((not c or c[-1].isspace() for c in chunks), bool, len(chunks))
+        if edge.any():
+            at, away = np.flatnonzero(~edge), np.flatnonzero(edge)
+            chunks, lengths, ends = [chunks[i] for i in at], lengths[at], [chunks[i] for i in away]
+        else:
+            ends = []
+        (ids, sizes), (more, others) = self._joined(chunks, lengths), self._alone([" " + c for c in ends])
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, others])
+        n, at, total, new = len(self.known), self.used, len(ids), len(chunks) + len(ends)
         while at + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(1 << 16, len(self.flat) // 2), self.dtype)])
-        while n + len(chunks) >= len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros(max(1 << 14, len(x) // 2), np.int64)]) for x in (self.begin, self.size))
+        while n + new >= len(self.begin):
+            self.begin, self.size, self.edge = (np.concatenate([x, np.zeros(max(1 << 14, len(x) // 2), x.dtype)]) for x in (self.begin, self.size, self.edge))
         self.flat[at : at + total] = ids
-        self.size[n : n + len(chunks)] = sizes
-        self.begin[n : n + len(chunks) + 1] = at + np.concatenate([[0], np.cumsum(sizes)])
+        self.size[n : n + new] = sizes
+        self.edge[n : n + new] = np.arange(new) >= len(chunks)
+        self.begin[n : n + new + 1] = at + np.concatenate([[0], np.cumsum(sizes)])
         self.used = at + total
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.known.update(zip(chain(chunks, ends), range(n, n + new), strict=True))
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The ids of each text; nulls are empty."""
@@ -113,28 +120,31 @@ class Encoder:
             for i, ids in whole.items():
                 out[i] = ids
             return out
-        # In a text with a space after white space the cuts stand elsewhere.
-        odd = [i for i, x in enumerate(texts) if _ODD.search(x)]
-        plain = pa.array(texts, pa.large_string())
-        parts = pc.split_pattern(plain, " ")
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         starts, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        place = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        place = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int32, len(chunks))
         new = np.flatnonzero(place < 0)
         if len(new):
             fresh = [chunks[i] for i in new]
-            self._learn(fresh)
-            place[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+            self._learn(fresh, pc.binary_length(coded.dictionary).to_numpy()[new])
+            place[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int32, len(fresh))
         at = place[coded.indices.to_numpy()]
+        # In a text with a space after white space the cuts stand elsewhere. The
+        # last chunk of a text has no space behind it.
+        edge = self.edge[at]
+        edge[starts[1:] - 1] = False
+        odd = np.flatnonzero(np.logical_or.reduceat(edge, starts[:-1]))
         # The first chunk of a text has no space before it.
         first, first_sizes = self._alone([x[: x.find(" ")] if " " in x else x for x in texts])
         sizes = self.size[at]
         sizes[starts[:-1]] = 0
         done = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.repeat(self.begin[at] - done[:-1], sizes) + np.arange(done[-1])]
+        kind = np.int32 if max(done[-1], self.used) < 1 << 31 else np.int64
+        flat = self.flat[np.repeat((self.begin[at] - done[:-1]).astype(kind), sizes) + np.arange(done[-1], dtype=kind)]
         heads, tails = np.split(first.astype(self.dtype), np.cumsum(first_sizes)[:-1]), np.split(flat, done[starts[1:-1]])
         out = [np.concatenate(x) for x in zip(heads, tails, strict=True)]
-        for i in odd:
+        for i in odd.tolist():
             out[i] = self._odd(texts[i])
         return out
 
