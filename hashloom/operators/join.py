@@ -29,18 +29,31 @@ def probe(build: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return keys.select(F.col(key).cast("bigint").alias("key")).join(build, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _reduced(pairs: DataFrame, times: Column, by: tuple[str, ...] = ()) -> DataFrame:
+def _sums(pairs: DataFrame, times: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Count and checksums of pairs, in which a row stands for ``times`` matches."""
     key = F.col("key")
     with wrapping(pairs.sparkSession):
-        sums = (pairs.groupBy(*by) if by else pairs.groupBy()).agg(
+        return (pairs.groupBy(*by) if by else pairs.groupBy()).agg(
             F.coalesce(F.sum(times), F.lit(0)).alias("join_count"),
             F.coalesce(F.sum(splitmix64(key) * times), F.lit(0)).alias("c1"),
             F.coalesce(F.sum(splitmix64(key.bitwiseXOR(lit64(GAMMA))) * times), F.lit(0)).alias("c2"),
         )
+
+
+def _again(parts: DataFrame) -> DataFrame:
+    """The sums of parts' sums."""
+    with wrapping(parts.sparkSession):
+        return parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("join_count", "c1", "c2")))
+
+
+def _as_text(sums: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return sums.select(*by, "join_count", to_text(F.col("c1")).alias("checksum1"), to_text(F.col("c2")).alias("checksum2"))
 
 
+def _reduced(pairs: DataFrame, times: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    return _as_text(_sums(pairs, times, by), by)
+
+
 def _counts(r: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
     return multiplicity(r, n="cr"), multiplicity(s, n="cs"), F.col("cr") * F.col("cs")
 
@@ -76,10 +89,11 @@ def join_partitioned(r: DataFrame, s: DataFrame, p: int) -> DataFrame:
 
 
 def join_two_level(r: DataFrame, s: DataFrame, ranks: int, p_per_rank: int) -> DataFrame:
-    """The join keyed by (rank, pid, key)."""
+    """The join reduced within each (rank, pid) first, then over all. Both follow
+    from the key, so the sides meet on the key, as they are counted."""
     a, b, times = _counts(r, s)
-    both = two_level(a, "key", ranks, p_per_rank).join(two_level(b, "key", ranks, p_per_rank), ["rank", "pid", "key"])
-    return _reduced(both, times)
+    cells = _sums(two_level(a.join(b, "key"), "key", ranks, p_per_rank), times, ("rank", "pid"))
+    return _as_text(_again(cells))
 
 
 def join_skew_salted(r: DataFrame, s: DataFrame, salts: int = 16) -> DataFrame:
@@ -99,7 +113,7 @@ def join_naive(r: DataFrame, s: DataFrame, most: int = 500) -> DataFrame:
     The equality is written as two inequalities, as Catalyst would turn it into
     an equi-join."""
     a, b = r.select(F.col("key").cast("bigint").alias("key")), s.select(F.col("key").cast("bigint").alias("other"))
-    if len(a.take(most + 1)) > most or len(b.take(most + 1)) > most:
+    if a.limit(most + 1).count() > most or b.limit(most + 1).count() > most:
         raise ValueError(f"the naive join takes at most {most} rows a side")
     return _reduced(a.join(b, (F.col("key") <= F.col("other")) & (F.col("key") >= F.col("other"))), F.lit(1).cast("bigint"))
 

@@ -59,7 +59,9 @@ def scatter_slots(df: DataFrame, index: str, key: str, p: int, run: int = 1 << 2
     rows = with_pid(df.select(index, key), key, p).withColumn("run", F.floor(F.col(index) / run))
     counts = rows.groupBy("pid", "run").agg(F.count("*").alias("n"))
     within = _before("n", W.partitionBy("pid").orderBy("run"))
-    start = counts.withColumn("within", within).join(offsets(dense(rows.groupBy("pid").agg(F.count("*").alias("n")), p)).select("pid", "begin"), "pid").select("pid", "run", (F.col("begin") + F.col("within")).alias("start"))
+    begins = offsets(counts.groupBy("pid").agg(F.sum("n").alias("n"))).select("pid", "begin")
+    # At most p rows, so they go to every task.
+    start = counts.withColumn("within", within).join(F.broadcast(begins) if p <= 1 << 20 else begins, "pid").select("pid", "run", (F.col("begin") + F.col("within")).alias("start"))
     rank = F.row_number().over(W.partitionBy("pid", "run").orderBy(index)) - 1
     return rows.withColumn("rank", rank).join(start, ["pid", "run"]).select(index, key, "pid", (F.col("start") + F.col("rank")).alias("slot"))
 

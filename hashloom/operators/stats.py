@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import statistics
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions.u64 import to_text
@@ -46,6 +50,40 @@ def binned_csv(distributions: dict[str, DataFrame], path: str, bins: int, max_ke
     out.na.fill(0).orderBy("BinID").coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def partition_bins(distributions: dict[str, DataFrame], p: int) -> DataFrame:
+    """PartitionID and one column of counts a distribution, all p partitions."""
+    spark = next(iter(distributions.values())).sparkSession
+    out = spark.range(p).withColumnRenamed("id", "PartitionID")
+    for name, df in distributions.items():
+        counts = with_pid(df, "key", p).groupBy(F.col("pid").alias("PartitionID")).agg(F.count("*").alias(name))
+        out = out.join(counts, "PartitionID", "left")
+    return out.na.fill(0)
+
+
+def partition_csv(distributions: dict[str, DataFrame], path: str, p: int) -> None:
+    """partition_bins as a CSV in order of PartitionID."""
+    partition_bins(distributions, p).orderBy("PartitionID").coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def hash_throughput(spark: SparkSession, hashes: list[str], sizes: list[int], p: int = 1 << 20, runs: int = 7, clock: Callable[[], float] = time.perf_counter) -> list[dict]:
+    """N, HashFunction, Throughput_MOps (of the median time of so many runs) and
+    StdDev_ms of mapping N keys to p partitions, for each hash and size."""
+    out = []
+    for n in sizes:
+        for name in hashes:
+            took = []
+            for _ in range(runs):
+                began = clock()
+                with_pid(spark.range(n), "id", p, name).agg(F.sum("pid")).collect()
+                took.append(clock() - began)
+            out.append({"N": n, "HashFunction": name, "Throughput_MOps": round(n / statistics.median(took) / 1e6, 3), "StdDev_ms": round(statistics.pstdev(took) * 1e3, 3)})
+    return out
+
+
+def throughput_csv(spark: SparkSession, measured: list[dict], path: str) -> None:
+    spark.createDataFrame(measured).select("N", "HashFunction", "Throughput_MOps", "StdDev_ms").coalesce(1).sortWithinPartitions("N", "HashFunction").write.mode("overwrite").csv(path, header=True)
+
+
 def partition_dump(df: DataFrame, index: str, key: str, p: int, path: str, rows: int = 10_000) -> None:
     """The partition ids of the first rows, one a line."""
     first = with_pid(df, key, p).orderBy(index).limit(rows)

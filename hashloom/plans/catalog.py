@@ -65,9 +65,7 @@ _add(
 
 def _hash_query(name: str) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
-        df = wide(table(s, d, "orders").select("o_orderkey"), "o_orderkey")
-        with wrapping(s):
-            return df.select("o_orderkey", kernel(name)(F.col("wide"), FINE).alias("pid"))
+        return P.with_pid(wide(table(s, d, "orders").select("o_orderkey"), "o_orderkey"), "wide", FINE, name).select("o_orderkey", "pid")
 
     return query
 
@@ -231,5 +229,50 @@ for _name in G.DISTRIBUTIONS:
 _add("join_generated_golden", lambda s, d: J.join_checksums(G.one_draw(s, N, SEED, MAX_KEY), G.one_draw(s, N, G.other_seed(SEED), MAX_KEY)), _join_sql(_generated_sql("one_draw", SEED), _generated_sql("one_draw", G.other_seed(SEED))))
 _add("gen_sequential", lambda s, d: G.sequential(s, N), f"SELECT range AS id, range AS key FROM range({N})")
 _add("gen_multiples64", lambda s, d: G.multiples_of_64(s, N), f"SELECT range AS id, (range + 1) * 64 AS key FROM range({N})")
-_add("gen_duplicates", lambda s, d: G.duplicates(s, 4000, SEED))
-_add("gen_mersenne", lambda s, d: G.mersenne_uniform(s, N, SEED))
+
+
+def _mersenne_sql(n: int, signed: bool = True) -> str:
+    """id, key: the first n draws of mt19937_64, its state as one list that grows."""
+    mask = f"{(1 << 64) - 1}::UHUGEINT"
+    first = f"(((6364136223846793005::UHUGEINT * xor(x[i], x[i] >> 62)::UHUGEINT) & {mask}) + i::UHUGEINT) & {mask}"
+    y = "((x[i + 1] & 18446744071562067968::UBIGINT) | (x[i + 2] & 2147483647::UBIGINT))"
+    new = f"xor(xor(x[i + 157], {y} >> 1), CASE WHEN {y} & 1 = 1 THEN 13043109905998158313::UBIGINT ELSE 0::UBIGINT END)"
+    steps = ("xor(v, (v >> 29) & 6148914691236517205::UBIGINT)", f"xor(v, ((v::UHUGEINT << 17) & {mask})::UBIGINT & 8202884508482404352::UBIGINT)", f"xor(v, ((v::UHUGEINT << 37) & {mask})::UBIGINT & 18444473444759240704::UBIGINT)", "xor(v, v >> 43)")
+    tempered = "SELECT j AS id, x[313 + j] AS v FROM (SELECT x, unnest(range(" + str(n) + ")) AS j FROM t WHERE i = " + str(n) + ")"
+    for step in steps:
+        tempered = f"SELECT id, {step} AS v FROM ({tempered})"
+    key = "(v::HUGEINT - CASE WHEN v >= 9223372036854775808::UBIGINT THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END)::BIGINT" if signed else "v"
+    return (
+        f"WITH RECURSIVE s(i, x) AS (SELECT 1, [{SEED}::UBIGINT] UNION ALL SELECT i + 1, list_append(x, ({first})::UBIGINT) FROM s WHERE i < 312), "
+        f"t(i, x) AS (SELECT 0, x FROM s WHERE i = 312 UNION ALL SELECT i + 1, list_append(x, {new}) FROM t WHERE i < {n}) "
+        f"SELECT id::BIGINT AS id, {key} AS key FROM ({tempered})"
+    )
+
+
+def _duplicates_sql(n: int, signed: bool = True) -> str:
+    return f"SELECT r.range AS id, m.key FROM range({n}) r JOIN ({_mersenne_sql(n // 1000, signed)}) m ON m.id = r.range % {n // 1000}"
+
+
+_DEALT = 4000
+_add("gen_duplicates", lambda s, d: G.duplicates(s, _DEALT, SEED), _duplicates_sql(_DEALT))
+_add("gen_mersenne", lambda s, d: G.mersenne_uniform(s, N, SEED), _mersenne_sql(N))
+
+# --- hash quality on the other key kinds, at the published partition count ---
+
+KINDS = {
+    "uniform": (lambda s: G.mersenne_uniform(s, N, SEED), f"SELECT key FROM ({_mersenne_sql(N, signed=False)})"),
+    "duplicates": (lambda s: G.duplicates(s, _DEALT, SEED), f"SELECT key FROM ({_duplicates_sql(_DEALT, signed=False)})"),
+    "sequential": (lambda s: G.sequential(s, 20_000), "SELECT range AS key FROM range(20000)"),
+}
+for _kind, (_keys, _sql) in KINDS.items():
+    for _name in KERNELS:
+        _add(f"hash_quality_{_name}_{_kind}", lambda s, d, name=_name, keys=_keys: S.hash_quality(keys(s), "key", 1 << 20, name), _quality_sql(_sql, _name, 1 << 20))
+
+# --- partition distribution over the four key distributions ----------------
+
+_add(
+    "partition_bins",
+    lambda s, d: S.partition_bins({k: G.relation(s, N, SEED, MAX_KEY, k) for k in G.DISTRIBUTIONS}, 2048),
+    f"WITH {', '.join(f'{k} AS (SELECT {O.kernel("murmur3_32", "key", 2048)} AS pid, count(*) AS n FROM ({_generated_sql(k, SEED)}) GROUP BY 1)' for k in G.DISTRIBUTIONS)} "
+    f"SELECT p.range AS \"PartitionID\", {', '.join(f'coalesce({k}.n, 0) AS {k}' for k in G.DISTRIBUTIONS)} FROM range(2048) p {' '.join(f'LEFT JOIN {k} ON {k}.pid = p.range' for k in G.DISTRIBUTIONS)}",
+)

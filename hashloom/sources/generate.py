@@ -2,7 +2,8 @@
 
 The generator's state advances by a constant, so draw j of a seed is
 mix64(seed + (j + 1) * GAMMA): each row is computed alone, on any executor.
-Only the mt19937_64 stream has no such form; its draws come from the driver.
+Only the mt19937_64 stream has no such form: its state is moved on by the
+driver, block by block, and the tasks draw from the states.
 """
 
 from __future__ import annotations
@@ -71,11 +72,16 @@ def relation(spark: SparkSession, n: int, seed: int, max_key: int, distribution:
 def _tiers(die: Column, value: Column, max_key: int) -> Column:
     widths = [max_key * share // 100 for _, share in TIERS[:-1]]
     widths.append(max_key - sum(widths))
-    branch, rows, base = None, 0, 0
+    keys, ends, rows, base = [], [], 0, 0
     for (percent, _), width in zip(TIERS, widths, strict=True):
-        key = lit64(base) + (umod(value, width) if width else F.lit(0).cast("bigint"))
+        keys.append(lit64(base) + (umod(value, width) if width else F.lit(0).cast("bigint")))
         rows, base = rows + percent, base + width
-        branch = F.when(die < rows, key) if branch is None else branch.when(die < rows, key)
+        ends.append(rows)
+    # The last tier has no condition: a key that may be null would be computed
+    # once more, in every branch, to filter the nulls.
+    branch = keys[-1]
+    for key, end in reversed(list(zip(keys[:-1], ends[:-1], strict=True))):
+        branch = F.when(die < end, key).otherwise(branch)
     return branch
 
 
@@ -87,58 +93,95 @@ def multiples_of_64(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select("id", ((F.col("id") + 1) * 64).alias("key"))
 
 
-def mersenne_draws(seed: int, n: int):
-    """The first n draws of mt19937_64, as signed 64-bit numbers."""
+#: Twists of the mt19937_64 state (312 draws each) that one task row stands for.
+MERSENNE_BLOCK = 4096
+#: Draws at most: the states of all blocks come from one pass on the driver, and
+#: some 20 KB of state go out for each 1.3 million draws.
+MERSENNE_MOST = 1 << 34
+_SIZE, _MIDDLE = 312, 156
+
+
+def _first_state(seed: int):
     import numpy as np
 
     # Fixed values of the published mt19937_64 generator.
-    size, middle, matrix = 312, 156, 0xB5026F5AA96619E9
-    upper, lower, spread = 0xFFFFFFFF80000000, 0x7FFFFFFF, 6364136223846793005
-    tempering = ((29, 0x5555555555555555, True), (17, 0x71D67FFFEDA60000, False), (37, 0xFFF7EEE000000000, False))
-    whole = (1 << 64) - 1
+    whole, spread = (1 << 64) - 1, 6364136223846793005
     state = [seed & whole]
-    for i in range(1, size):
+    for i in range(1, _SIZE):
         state.append((spread * (state[-1] ^ (state[-1] >> 62)) + i) & whole)
-    words, out = np.array(state, dtype=np.uint64), np.empty(n, dtype=np.uint64)
+    return np.array(state, dtype=np.uint64)
+
+
+def _twist(words) -> None:
+    """The next state, in place."""
+    import numpy as np
+
+    # Fixed values of the published mt19937_64 generator.
+    matrix, upper, lower = 0xB5026F5AA96619E9, 0xFFFFFFFF80000000, 0x7FFFFFFF
     one = np.uint64(1)
 
-    def twist(at: slice, after, far) -> None:
+    def part(at: slice, after, far) -> None:
         x = (words[at] & np.uint64(upper)) | (after & np.uint64(lower))
         words[at] = far ^ (x >> one) ^ np.where(x & one, np.uint64(matrix), np.uint64(0))
 
-    for begin in range(0, n, size):
-        twist(slice(0, middle), words[1 : middle + 1].copy(), words[middle:].copy())
-        twist(slice(middle, size - 1), words[middle + 1 :].copy(), words[: middle - 1].copy())
-        twist(slice(size - 1, size), words[:1].copy(), words[middle - 1 : middle].copy())
+    part(slice(0, _MIDDLE), words[1 : _MIDDLE + 1].copy(), words[_MIDDLE:].copy())
+    part(slice(_MIDDLE, _SIZE - 1), words[_MIDDLE + 1 :].copy(), words[: _MIDDLE - 1].copy())
+    part(slice(_SIZE - 1, _SIZE), words[:1].copy(), words[_MIDDLE - 1 : _MIDDLE].copy())
+
+
+def _drawn(words, n: int):
+    """The next n draws after a state, which is moved on, as signed 64-bit numbers."""
+    import numpy as np
+
+    # Fixed values of the published mt19937_64 generator.
+    tempering = ((29, 0x5555555555555555, True), (17, 0x71D67FFFEDA60000, False), (37, 0xFFF7EEE000000000, False))
+    out = np.empty(n, dtype=np.uint64)
+    for begin in range(0, n, _SIZE):
+        _twist(words)
         x = words.copy()
         for shift, mask, right in tempering:
             s = np.uint64(shift)
             x ^= ((x >> s) if right else (x << s)) & np.uint64(mask)
         x ^= x >> np.uint64(43)
-        out[begin : begin + size] = x[: n - begin]
+        out[begin : begin + _SIZE] = x[: n - begin]
     return out.view(np.int64)
 
 
+def mersenne_draws(seed: int, n: int):
+    """The first n draws of mt19937_64, as signed 64-bit numbers."""
+    return _drawn(_first_state(seed), n)
+
+
 def mersenne_uniform(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """Full-range keys; drawn on the driver, so for studies of up to some 10^8 rows."""
-    return _from_driver(spark, mersenne_draws(seed, n), n)
+    """id, key: full-range keys. The driver only moves the state on from block to
+    block; the draws are made by the tasks."""
+    import numpy as np
+    import pandas as pd
+
+    if not 0 <= n <= MERSENNE_MOST:
+        raise ValueError(f"n must be in 0 .. {MERSENNE_MOST}")
+    block, words, states = MERSENNE_BLOCK * _SIZE, _first_state(seed), []
+    for first in range(0, n, block):
+        states.append((first, min(block, n - first), words.tobytes()))
+        for _ in range(MERSENNE_BLOCK if first + block < n else 0):
+            _twist(words)
+
+    def draw(batches):
+        for pdf in batches:
+            for first, size, state in zip(pdf["first"], pdf["size"], pdf["state"], strict=True):
+                yield pd.DataFrame({"id": np.arange(first, first + size), "key": _drawn(np.frombuffer(state, np.uint64).copy(), int(size))})
+
+    rows = spark.createDataFrame(states, "first bigint, size bigint, state binary")
+    return rows.repartition(max(1, len(states)), "first").mapInPandas(draw, "id bigint, key bigint")
 
 
 def duplicates(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """n keys dealt in turn from a pool of max(1, n / 1000) draws."""
     size = max(1, n // 1000)
-    pool = _from_driver(spark, mersenne_draws(seed, size), size).withColumnRenamed("id", "slot")
+    pool = mersenne_uniform(spark, size, seed).withColumnRenamed("id", "slot")
     return spark.range(n).withColumn("slot", F.col("id") % size).join(pool, "slot").select("id", "key")
 
 
-def _from_driver(spark: SparkSession, keys, n: int) -> DataFrame:
-    import pandas as pd
-
-    if not n:
-        return spark.createDataFrame([], "id bigint, key bigint")
-    return spark.createDataFrame(pd.DataFrame({"id": range(n), "key": keys}), "id bigint, key bigint")
-
-
 def chunk_of(i: Column, n: int, chunks: int) -> Column:
     """The chunk of row i when n rows are cut evenly and the last chunk takes the rest."""
     width = max(1, n // chunks)
