@@ -156,10 +156,10 @@ def runs(batches: Iterator, rows: int) -> Iterator:
         yield pd.concat(kept, ignore_index=True)
 
 
-def coded_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def coded_words(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The words of texts, A-Z lower-cased, one text after the other: the code
     of each word, how many words each text has, and the word of each code."""
-    lower = pc.ascii_lower(pa.array([x or "" for x in texts], pa.large_string()))
+    lower = pc.ascii_lower(texts.cast(pa.large_string()).fill_null("") if isinstance(texts, pa.Array) else pa.array([x or "" for x in texts], pa.large_string()))
     parts = pc.ascii_split_whitespace(lower)
     flat, ends = parts.values, parts.offsets.to_numpy()
     empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)

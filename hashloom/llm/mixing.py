@@ -3,35 +3,47 @@
 Each source is a queue of its documents in a shuffled order, met once a turn
 for as many turns as a document may be repeated. A document's virtual finish
 time is the cumulative words of its source up to its end, divided by the
-source's weight. The mix is the documents of all queues by finish time, cut at
-the total budget. The cut falls at one virtual time T for all sources: a
-source gives min(cap, weight * T) words, the sum of which is the budget. That
-is the target of the source, and the reshared excess of sources that reach
-their cap. T is solved from the sources' totals alone, so a document needs
-only its place in its own queue to know what it gives; the one that straddles
-the cut gives its first words.
-
-The place in a queue is a running sum over (source, slice of the shuffled
-order): slices' totals are summed first, so a source with a third of all rows
-is ranked by as many tasks as there are slices. The order is by the MD5 of
-seed and id, so reruns agree.
+source's weight. The mix is the documents of all queues in the order of finish
+times, cut where the running total of words reaches the total budget: what has
+been given by a finish time is the words of the sources that are used up, and
+the time times the weights of the others. So a source that is used up leaves
+the rest of the budget to the others, in proportion to their weights. The
+document that straddles the cut in its queue gives its first words. Times are
+compared as whole numbers: words times the least common multiple of the
+weights over the weight.
+
+The order is global: documents are dealt to ranges of finish times, the ranges
+are summed, and the running totals within a range start from the sums of those
+before it. The place in a queue is a running sum over (source, slice of the
+shuffled order) in the same way, so a source with a third of all rows is ranked
+by as many tasks as there are slices. Nothing runs over all rows in one task.
+The shuffled order is by the MD5 of seed and id, so reruns agree.
+
+The target of a source is reported as the closed form of the same rule, and
+the mix does not depend on it; a source's words are within one of it.
 
 Nulls: a null text has size 0 and gives nothing; a null source is a source of
-its own, last in order; null ids are ordered as empty text. An empty table
-gives no rows. Rows that repeat an id are documents of their own. Ties in the
-order go to the smaller id, then the smaller size.
+its own, last in the order of weights; null ids are ordered as empty text. An
+empty table gives no rows. Rows that repeat an id are documents of their own.
+Ties in the order go to the smaller id, then the smaller size; ties in time
+to the smaller source, a null one first.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import WORD, Scratch, small
+from hashloom.llm.common import WORD, Scratch, pieces, small
 
 #: Hexadecimal digits of the order that make a slice: 4096 slices a source.
 SLICE = 3
+#: Rows of a range of finish times, on average.
+RANGE = 1 << 20
 
 
 def word_count(text: str | Column) -> Column:
@@ -54,41 +66,109 @@ def _source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, c
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, finish, and the columns to keep.
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
 
-    taken counts the words that the mix takes of the document, repeats
-    included: at most cap times its size. finish is the virtual finish time of
-    its first turn. The sources are a small dimension: their targets are
-    solved in one task, over one row a source.
-    """
+
+def _queued(docs: DataFrame, weights: tuple[int, ...], share: float, cap: int, seed: int, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """doc_id, source, size, print (hash of the text), source_size, weight, target,
+    per (time that a word takes) and end (cumulative words) of every document; the
+    words of all, and the weights of all sources that have any."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("order"), *keep).withColumn("slice", F.substring("order", 1, SLICE))
-    slices = Scratch(docs.sparkSession, "mixing").save(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("print"), order.alias("order"))
+    rows = scratch.save(rows.withColumn("slice", F.substring("order", 1, SLICE)), "sizes")
+    slices = scratch.save(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
     totals = slices.groupBy("source").agg(F.sum("words").alias("source_size"))
     start = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    targets = _source_targets(totals, weights, share, cap)
+    # One row a source: weights and targets are told in one task.
+    targets = scratch.save(_source_targets(totals, weights, share, cap), "targets")
     a, b = slices.withColumn("start", start).alias("a"), targets.alias("b")
-    known = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("known_source"), F.col("slice").alias("known_slice"), "start", "source_size", "weight", "target")
-    # At most 4096 rows a source, so mostly small enough to leave the texts in place.
-    placed = rows.join(small(known), F.col("source").eqNullSafe(F.col("known_source")) & (F.col("slice") == F.col("known_slice")))
-    end = F.col("start") + F.sum("size").over(W.partitionBy("source", "slice").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    queued = placed.withColumn("end", end)
-    taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), F.floor("target") - F.col("source_size") * turn - F.col("end") + F.col("size"))) for turn in range(cap)), F.lit(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), (F.col("end") / F.col("weight")).alias("finish"), *keep)
+    known = a.join(b, _same("a.source", "b.source")).select(F.col("a.source").alias("known_source"), F.col("slice").alias("known_slice"), "start", "source_size", "weight", "target")
+    known = small(scratch.save(known, "known"))
+    placed = rows.join(known, _same("source", "known_source") & (F.col("slice") == F.col("known_slice")))
+    end = F.col("start") + F.sum("size").over(W.partitionBy("source", "slice").orderBy("order", "doc_id", "size", "print").rowsBetween(W.unboundedPreceding, 0))
+    per = F.floor(F.lit(math.lcm(*weights)) / F.col("weight")).cast("bigint")
+    queued = placed.select("doc_id", "source", "size", "print", "source_size", "weight", "target", per.alias("per"), end.alias("end"))
+    total, all_weights = targets.where("source_size > 0").agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    return scratch.save(queued, "queued"), total, all_weights
+
+
+def _cut(queued: DataFrame, total: int, all_weights: int, weights: tuple[int, ...], share: float, cap: int, scratch: Scratch) -> int:
+    """The virtual time at which the mix has all words of the budget."""
+    if not total:
+        return 0
+    turns = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
+    each = queued.where("size > 0").withColumn("turn", turns).withColumn("place", F.col("end") + F.col("turn") * F.col("source_size"))
+    last = F.col("place") == F.col("source_size") * cap
+    each = each.select((F.col("place") * F.col("per")).alias("finish"), "source", "place", F.when(last, F.col("weight")).otherwise(0).alias("ends"), F.when(last, F.col("place")).otherwise(0).alias("used"))
+    dealt = each.repartitionByRange(pieces(queued.count() * cap, RANGE), "finish", "source", "place")
+    ranges = scratch.save(dealt.withColumn("range", F.spark_partition_id()), "ranges")
+    # One row a range.
+    sums = ranges.groupBy("range").agg(F.sum("ends").alias("ends"), F.sum("used").alias("used"))
+    upto = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    start = sums.select("range", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in ("ends", "used")))
+    within = W.partitionBy("range").orderBy("finish", "source", "place").rowsBetween(W.unboundedPreceding, 0)
+    run = ranges.join(F.broadcast(start), "range").select("finish", *((F.col(f"{c}_before") + F.sum(c).over(within)).alias(c) for c in ("ends", "used")))
+    # Weights that still run, and the words of sources that are used up, by each
+    # finish time; the budget is reached at the latest of the times they lead to,
+    # as what is given bends down wherever a source ends.
+    whole, budget = math.lcm(*weights), Fraction(share) * total * math.lcm(*weights)
+    live = F.lit(all_weights) - F.col("ends")
+    left = F.lit(budget.numerator) - F.col("used") * (whole * budget.denominator)
+    time = F.when(live > 0, _whole(left, live * budget.denominator))
+    given = (live * F.col("finish") + F.col("used") * whole) * budget.denominator <= budget.numerator
+    most, met = run.agg(F.max("finish"), F.max(F.when(given, time))).first()
+    first = budget.numerator // (budget.denominator * all_weights)
+    return first if met is None else min(max(met, first), most)
+
+
+def _whole(a: Column, b: Column) -> Column:
+    """a / b rounded down, for whole numbers a >= 0 and b > 0."""
+    return F.floor((a - F.pmod(a, b)) / b).cast("bigint")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, cap: int, seed: int, scratch: Scratch) -> DataFrame:
+    queued, total, all_weights = _queued(docs, weights, share, cap, seed, scratch)
+    cut = _cut(queued, total, all_weights, weights, share, cap, scratch)
+    upto = _whole(F.lit(cut).cast("bigint"), F.col("per"))
+    taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), upto - F.col("source_size") * turn - F.col("end") + F.col("size"))) for turn in range(cap)), F.lit(0))
+    return queued.withColumn("taken", taken.cast("bigint"))
+
+
+def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 0) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, finish.
+
+    taken counts the words that the mix takes of the document, repeats
+    included: at most cap times its size. finish is the virtual finish time of
+    its first turn, in words times the least common multiple of the weights
+    over the weight."""
+    mixed = _mixed(docs, weights, share, cap, seed, Scratch(docs.sparkSession, "mixing"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", (F.col("end") * F.col("per")).alias("finish"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 0) -> DataFrame:
     """The mixed documents themselves, with the columns of docs: one row a turn
     in which a document gives words, in the order of finish times; the text of
     a document cut by the budget is its first words, and n_chars its length."""
-    row = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    queued = fair_queue(row, keep=("__row",), **options)
+    scratch = Scratch(docs.sparkSession, "mix")
+    mixed = _mixed(docs, weights, share, cap, seed, scratch).where("taken > 0")
+    known = mixed.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("print").alias("__print"), "size", "source_size", "per", "end", "taken")
+    key = ["__id", "__source", "__print"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64("text").alias("__print"))
+    # Rows that repeat id, source and text are told apart by number; mostly there are none.
+    repeated = known.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").take(1)
+    number = lambda *by: F.row_number().over(W.partitionBy(*key).orderBy(*by)) if repeated else F.lit(1)
+    a = rows.withColumn("__turned", number("__print")).alias("a")
+    b = small(known.withColumn("__turned", number("end"))).alias("b")
+    each = a.join(b, _same("a.__id", "b.__id") & _same("a.__source", "b.__source") & (F.col("a.__print") == F.col("b.__print")) & (F.col("a.__turned") == F.col("b.__turned")))
     turns = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
-    each = queued.where("taken > 0").withColumn("turn", F.explode(turns)).withColumn("gives", F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("turn")))
+    each = each.select("a.__row", "a.__source", "size", "source_size", "per", "end", "taken", F.explode(turns).alias("turn")).withColumn("gives", F.least(F.col("size"), F.col("taken") - F.col("size") * F.col("turn")))
+    finish = (F.col("end") - F.col("size") + F.col("gives") + F.col("turn") * F.col("source_size")) * F.col("per")
+    order = ["__finish", "__source", "end"]
+    ordered = each.withColumn("__finish", finish).repartitionByRange(*order).sortWithinPartitions(*order)
     text = F.when(F.col("gives") < F.col("size"), first_words(F.col("__row.text"), F.col("gives"))).otherwise(F.col("__row.text"))
     renewed = {"text": text, "n_chars": F.length(text)}
-    return each.select(*((renewed.get(c, F.col(f"__row.`{c}`"))).cast(t).alias(c) for c, t in docs.dtypes))
+    return ordered.select(*((renewed.get(c, F.col(f"__row.`{c}`"))).cast(t).alias(c) for c, t in docs.dtypes))
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from hashloom.llm.common import Scratch, pieces, tidy
 from hashloom.llm.tokens import encoder
 
-WINDOW, SHARD_DOCS, SHARD_IDS, TASK_IDS = 2048, 1024, 1 << 20, 12 << 20
+WINDOW, SHARD_DOCS, SHARD_IDS, TASK_IDS = 2048, 512, 1 << 20, 12 << 20
 K1, B = 1.2, 0.75
 #: Terms in more than one of so many documents have their weights in rows of all documents.
 DENSE = 16

@@ -49,7 +49,7 @@ MARGIN = 0.13
 #: So much further below, the share of equal registers alone rules a pair out.
 FURTHER = 0.1
 #: Load of a cell's chunk: a member counts 1, and 1 more for each SHINGLES of its set.
-CHUNK, SHINGLES = 2048, 512
+CHUNK, SHINGLES = 768, 512
 DOCS, SLICE = 500, 2048
 
 _RNG = np.random.default_rng(20240229)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 _GAP = re.compile(r"(?<=\S)(?= )")
 #: Chunks remembered: beyond MOST, all but the first KEEP are forgotten. The
 #: first ones met are mostly the frequent ones; it only saves time.
-MOST, KEEP = 300_000, 150_000
+MOST, KEEP = 450_000, 220_000
 #: Chunks encoded in one call of the library.
 JOINED = 64
 
@@ -80,9 +80,12 @@ class Encoder:
         upto = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(lengths + 1), side="right")
         return ids, np.diff(upto, prepend=0)
 
-    def _learn(self, chunks: list[str], lengths: np.ndarray) -> None:
-        """Remembers chunks, whose UTF-8 has the given lengths."""
-        edge = np.fromiter((not c or c[-1].isspace() for c in chunks), bool, len(chunks))
+    def _learn(self, chunks: list[str], lengths: np.ndarray, last: np.ndarray) -> None:
+        """Remembers chunks, whose UTF-8 has the given lengths and last bytes."""
+        edge = lengths == 0
+        # White space beyond ASCII ends in a byte beyond it.
+        for i in np.flatnonzero(~edge & ((last <= 0x20) | (last >= 0x80))).tolist():
+            edge[i] = chunks[i][-1].isspace()
         if edge.any():
             at, away = np.flatnonzero(~edge), np.flatnonzero(edge)
             chunks, lengths, ends = [chunks[i] for i in at], lengths[at], [chunks[i] for i in away]
@@ -127,7 +130,9 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             fresh = [chunks[i] for i in new]
-            self._learn(fresh, pc.binary_length(coded.dictionary).to_numpy()[new])
+            ends = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[coded.dictionary.offset :][: len(chunks) + 1]
+            data = np.frombuffer(coded.dictionary.buffers()[2] or b"\0", np.uint8)
+            self._learn(fresh, np.diff(ends)[new], data[np.maximum(ends[1:][new] - 1, 0)])
             place[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int32, len(fresh))
         at = place[coded.indices.to_numpy()]
         # In a text with a space after white space the cuts stand elsewhere. The
