@@ -28,7 +28,7 @@ from hashloom.llm.common import Scratch
 from hashloom.llm.vectors import search, top, usable
 
 LEVELS = 8
-CHECKS = (0.5, 0.7, 0.85)
+CHECKS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
 class ImpactIndex:
@@ -97,11 +97,14 @@ def impact_top_k(embeddings: DataFrame, is_query: Column, k: int = 10, scale: in
     the column ``id``) selects, against all other rows."""
     rows = usable(embeddings, id_col, vector)
 
-    def shard(ids, x, queries, query_ids):
-        index = ImpactIndex(np.floor(x * scale).astype(np.int64))
-        for qid, q in zip(query_ids, np.floor(queries * scale).astype(np.int64)):
-            at, scores, _ = index.search(q, k + 1, ids)
-            yield qid, at, scores
+    def index(ids, x):
+        made = ImpactIndex(np.floor(x * scale).astype(np.int64))
 
-    scratch = Scratch(embeddings.sparkSession, "impact")
-    return search(rows, is_query, k, shard, "bigint", scratch, "blocks")
+        def find(queries, query_ids):
+            for qid, q in zip(query_ids, np.floor(queries * scale).astype(np.int64)):
+                at, scores, _ = made.search(q, k + 1, ids)
+                yield qid, at, scores
+
+        return find
+
+    return search(rows, is_query, k, index, "bigint", Scratch(embeddings.sparkSession, "impact"), "all")

@@ -126,32 +126,36 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, bits: int = BIT
     """query_id, rank, vec_id, score (cosine) of the k nearest rows found for
     every row of embeddings that is_query (a predicate on the column ``id``) selects."""
     spark, scratch = embeddings.sparkSession, Scratch(embeddings.sparkSession, "multi-index")
-    rows = usable(embeddings, id_col, vector).where(F.exists("v", lambda x: x != 0))
+    rows = scratch.save(usable(embeddings, id_col, vector).where(F.exists("v", lambda x: x != 0)), "usable")
     fitted = rows.orderBy(hash_of("id"), "id").limit(sample).toPandas()
     learned = {n: Codes(x, k, bits) for n, (_, x) in by_length(fitted["id"].to_numpy(np.int64), list(fitted["v"])).items() if len(x) > k}
     codes = spark.sparkContext.broadcast(learned)
 
-    def shard_with(radius):
-        def shard(ids, x, queries, query_ids):
-            u, uq = (y / np.linalg.norm(y, axis=1, keepdims=True) for y in (x, queries))
-            book = codes.value.get(x.shape[1])
-            if book is not None:
-                index, coded = MultiIndex(book.encode(u)), book.encode(uq)
-            for i, qid in enumerate(query_ids):
-                at = np.arange(len(ids)) if book is None else index.within(coded[i], book.radius if radius is None else radius)
-                at = at[ids[at] != qid]
-                scores = np.einsum("ij,j->i", x[at], queries[i]) / (np.sqrt(np.einsum("ij,ij->i", x[at], x[at])) * np.sqrt(queries[i] @ queries[i]))
-                best = top(ids[at], scores, k)
-                yield qid, at[best], scores[best]
-
-        return shard
-
-    first = scratch.save(search(rows, is_query, k, shard_with(None), "double", scratch, "blocks"), "first")
+    def index_with(radius):
+        def index(ids, x):
+            u, book = x / np.linalg.norm(x, axis=1, keepdims=True), codes.value.get(x.shape[1])
+            made = MultiIndex(book.encode(u)) if book is not None else None
+            norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+
+            def find(queries, query_ids):
+                coded = book.encode(queries / np.linalg.norm(queries, axis=1, keepdims=True)) if book is not None else None
+                for i, qid in enumerate(query_ids):
+                    at = np.arange(len(ids)) if book is None else made.within(coded[i], book.radius if radius is None else radius)
+                    at = at[ids[at] != qid]
+                    scores = np.einsum("ij,j->i", x[at], queries[i]) / (norms[at] * np.sqrt(queries[i] @ queries[i]))
+                    best = top(ids[at], scores, k)
+                    yield qid, at[best], scores[best]
+
+            return find
+
+        return index
+
+    first = scratch.save(search(rows, is_query, k, index_with(None), "double", scratch, "all"), "first")
     found = first.groupBy("query_id").agg(F.count("*").alias("n"))
     short = rows.where(is_query).join(found, F.col("id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k).select("id")
     if not short.take(1):
         return first
     again = scratch.save(short, "short")
     marked = rows.join(again.withColumn("again", F.lit(True)), "id", "left")
-    rest = search(marked, is_query & F.col("again"), k, shard_with(1 << 30), "double", scratch, "rest")
+    rest = search(marked, is_query & F.col("again"), k, index_with(1 << 30), "double", scratch, "rest")
     return first.join(again.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest)

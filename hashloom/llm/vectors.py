@@ -1,14 +1,15 @@
-"""Searching a set of stated queries against all vectors, in blocks.
+"""Searching a set of stated queries against all vectors, in shards and blocks.
 
-Queries go out in blocks of bounded size; the rows of a block's tasks are
-indexed shard by shard, each of a bounded number of rows, and a shard gives
-back its best k a query. Nothing in it grows with the table but the number of
-shards and of blocks.
+Queries are written to the shared folder in blocks of bounded size. A task
+takes a shard of a bounded number of rows, builds its index once, and runs all
+blocks through it, one after the other as it reads them; the shard gives back
+its best k a query. All of it is one job, without a loop on the driver or a
+broadcast that grows with the queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import Scratch, hash_of, pieces, runs
+from hashloom.llm.common import Scratch, hash_of, pieces, runs, tidy
 
 QUERY_BLOCK, SHARD_ROWS = 2048, 16384
 
@@ -46,43 +47,49 @@ def top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search(rows: DataFrame, is_query: Column, k: int, shard: Callable, score_type: str, scratch: Scratch, name: str) -> DataFrame:
+def _blocks(path: str) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The blocks of queries that were written to path, each by length."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, place = fs.FileSystem.from_uri(path)
+    for info in sorted(files.get_file_info(fs.FileSelector(place)), key=lambda x: x.path):
+        if info.path.endswith(".parquet"):
+            for batch in pq.ParquetFile(files.open_input_file(info.path)).iter_batches(QUERY_BLOCK):
+                yield by_length(batch["id"].to_numpy(), batch["v"].to_pylist())
+
+
+def search(rows: DataFrame, is_query: Column, k: int, index: Callable, score_type: str, scratch: Scratch, name: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query.
 
-    shard(ids, matrix, queries, query_ids) yields (query_id, positions, scores)
-    over one shard of vectors of one length; positions may include the query's
-    own row, which is dropped here, so shard is asked for k + 1.
-    """
-    spark, schema = rows.sparkSession, f"query_id bigint, vec_id bigint, score {score_type}"
-    queries = rows.where(is_query)
-    n, q = rows.count(), queries.count()
-    blocks = pieces(q, QUERY_BLOCK)
-    shards = rows.repartition(pieces(n, SHARD_ROWS), hash_of("id"))
-    out = None
-    for block in range(blocks):
-        got = queries.where(F.pmod(hash_of("id", F.lit("block")), F.lit(blocks)) == block).toPandas()
-        mine = spark.sparkContext.broadcast(by_length(got["id"].to_numpy(np.int64), list(got["v"])))
-
-        def each(batches, mine=mine):
-            for pdf in runs(batches, SHARD_ROWS):
-                for length, (ids, x) in by_length(pdf["id"].to_numpy(np.int64), list(pdf["v"])).items():
-                    if length not in mine.value:
-                        continue
-                    qids, qx = mine.value[length]
-                    a, b, c = [], [], []
-                    for qid, at, scores in shard(ids, x, qx, qids):
+    index(ids, matrix) makes a search over one shard of vectors of one length:
+    a function of (queries, query_ids) that yields (query_id, positions, scores).
+    Positions may include the query's own row, which is dropped here, so it
+    should give k + 1."""
+    schema = f"query_id bigint, vec_id bigint, score {score_type}"
+    saved = scratch.save(rows, f"{name}-rows")
+    queries = saved.where(is_query).select("id", "v")
+    n, q = saved.count(), queries.count()
+    table = f"{name}-queries"
+    scratch.save(queries.repartition(pieces(q, QUERY_BLOCK), hash_of("id", F.lit("block"))), table)
+    path = scratch.path(table)
+
+    @tidy
+    def each(batches):
+        for pdf in runs(batches, SHARD_ROWS):
+            made = {length: (ids, index(ids, x)) for length, (ids, x) in by_length(pdf["id"].to_numpy(np.int64), list(pdf["v"])).items()}
+            for block in _blocks(path):
+                a, b, c = [], [], []
+                for length, (qids, qx) in block.items():
+                    ids, find = made.get(length, (None, None))
+                    for qid, at, scores in find(qx, qids) if find else ():
                         own = ids[at] != qid
                         a.append(np.full(int(own.sum()), qid))
                         b.append(ids[at][own])
                         c.append(scores[own])
-                    if a:
-                        yield pd.DataFrame({"query_id": np.concatenate(a), "vec_id": np.concatenate(b), "score": np.concatenate(c)})
-
-        part = shards.mapInPandas(each, schema)
-        if blocks > 1:
-            part.write.mode("append").parquet(scratch.path(name))
-        out = part
-    if blocks > 1:
-        out = spark.read.schema(out.schema).parquet(scratch.path(name))
+                if a:
+                    yield pd.DataFrame({"query_id": np.concatenate(a), "vec_id": np.concatenate(b), "score": np.concatenate(c)})
+
+    found = saved.select("id", "v").repartition(pieces(n, SHARD_ROWS), hash_of("id")).mapInPandas(each, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -144,3 +144,69 @@ def test_sparse_and_linear_scores_agree():
     odds, _ = view.odds(texts, w)
     for (at, x), o in zip(view.sparse(texts), odds):
         assert (x * w[at]).sum() + w[-1] == pytest.approx(o, abs=1e-4)
+
+
+def test_runs_cover_texts_and_know_their_words():
+    """Runs go from the third word to the end of a text; the same words after the same
+    context are the same run, wherever they stand, and others are not."""
+    from hashloom.llm.context_mixing import CONTEXT, cut_runs
+
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
+    passage = rng.integers(0, 400, 300)
+    texts = [rng.integers(0, 400, n) for n in (0, 1, 2, 3, 4, 500)] + [np.concatenate([rng.integers(0, 400, n), passage]) for n in (0, 7, 150)]
+    codes = [np.append(t, 399) for t in texts]
+    sizes = np.array([len(c) for c in codes])
+    of, context, run, start, size = cut_runs(words[np.concatenate(codes)], sizes)
+    seen = {}
+    for t, c in enumerate(codes):
+        mine = np.flatnonzero(of == t)
+        assert len(mine) == 0 if len(c) <= CONTEXT else start[mine[0]] == CONTEXT and start[mine[-1]] + size[mine[-1]] == len(c)
+        assert (start[mine][1:] == (start + size)[mine][:-1]).all()
+        for i in mine:
+            told = (tuple(c[start[i] - CONTEXT : start[i]]), tuple(c[start[i] : start[i] + size[i]]))
+            assert seen.setdefault((context[i], run[i]), told) == told
+    assert len(seen) == len(set(seen.values()))
+    assert sum(len(set(np.flatnonzero((context == context[i]) & (run == run[i])))) == 3 for i in np.flatnonzero(of == 6)) > 1
+
+
+def test_texts_that_occur_again_score_apart(documents):
+    """Against a plain sum: a copy costs its first three words and its runs, and a
+    training text is left out of its own contexts."""
+    import random
+
+    rng = random.Random(9)
+    own = [" ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(220)) for _ in range(80)]
+    rows = score_texts(documents(list(enumerate(own + own[:8])))).collect()
+    per = {r["doc_id"]: r["score"] / r["n_tokens"] for r in rows}
+    # Texts whose copy is learned; a copy that is held out tells nothing.
+    again = [i for i in [*range(8), *range(80, 88)] if not is_held((i + 80) % 160, 10, 0)]
+    assert len(again) > 10 and max(per[i] for i in range(8, 80)) < min(per[i] for i in again) * 3
+    assert all(r["score"] < 0 for r in rows)
+
+
+def test_probabilities_of_runs_are_proper():
+    """A bit's two costs add to one, and the runs of a context share what is theirs."""
+    import pandas as pd
+
+    from hashloom.llm.context_mixing import Repeats
+
+    cells = pd.DataFrame({"met": [0, 0, 1, 3], "sure": [8, 8, 11, 15], "again": [True, False, True, True], "count": [40, 10, 5, 90]})
+    for model in (Repeats(cells), Repeats(cells.iloc[:0])):
+        n, d = np.array([1.0, 5.0, 9.0]), np.array([1.0, 2.0, 1.0])
+        no = 10 ** model.log_cost(n, np.zeros(3), d)
+        yes = 10 ** model.log_cost(n, n, d)
+        assert np.allclose(no + yes, 1)
+        assert np.allclose(10 ** model.log_cost(n, n / n, d), yes / n)
+
+
+def test_wide_word_scores_keep_their_values():
+    from hashloom.llm.context_mixing import Model, Speller, Tree
+
+    leaves = np.zeros((1 << DEPTH, 3))
+    leaves[:, :2], leaves[:, 2] = 5.0, 1.0
+    model = Model(Tree(leaves), Speller(), np.array([0.5, 0.5]), np.array([0.1, 0.1]), 10, 10)
+    counts = np.array([[3, 2], [1 << 40, 7], [0, 0]])
+    total, logs = model.unpacked(model.packed([b"a", b"b", b"c"], counts))
+    assert total.tolist() == [5, (1 << 40) + 7, 0]
+    assert np.allclose(logs[:2], model.log_words([b"a", b"b"], counts[:2]) / np.log(10), atol=0.0003)
