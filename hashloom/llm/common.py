@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -43,27 +44,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables of one run of an operator in the shared folder. A table written
-    there cuts the lineage and outlives the executors that made it."""
+    there cuts the lineage and outlives the executors that made it. Results read
+    from these tables, so they stay until the application ends, or swept() says
+    that no pending result needs them."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/hashloom-{name}-{uuid.uuid4().hex}"
+        self.used = False
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str, compression: str = "zstd") -> DataFrame:
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(table))
+        if not self.used:
+            self.used = True
+            Scratch.made.append(self)
+            path, files = self._at(self.root)
+            files.deleteOnExit(path)
         return self.load(table, df.schema)
 
     def load(self, table: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(table))
 
+    def _at(self, place: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *tables: str) -> None:
         """Only for tables that no pending result reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._at(self.path(table))
+            files.delete(path, True)
+
+    @classmethod
+    @contextlib.contextmanager
+    def swept(cls):
+        """Deletes the tables that are made within, which nothing may read later."""
+        before = list(cls.made)
+        yield
+        for scratch in [x for x in cls.made if x not in before]:
+            path, files = scratch._at(scratch.root)
+            files.delete(path, True)
+            cls.made.remove(scratch)
 
 
 def release(spark: SparkSession) -> None:
@@ -156,11 +181,11 @@ def runs(batches: Iterator, rows: int) -> Iterator:
         yield pd.concat(kept, ignore_index=True)
 
 
-def coded_words(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def coded_words(texts: list[str | None] | pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The words of texts, A-Z lower-cased, one text after the other: the code
     of each word, how many words each text has, and the word of each code."""
-    lower = pc.ascii_lower(texts.cast(pa.large_string()).fill_null("") if isinstance(texts, pa.Array) else pa.array([x or "" for x in texts], pa.large_string()))
-    parts = pc.ascii_split_whitespace(lower)
+    whole = texts.cast(pa.large_string()).fill_null("") if isinstance(texts, pa.Array) else pa.array([x or "" for x in texts], pa.large_string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
     flat, ends = parts.values, parts.offsets.to_numpy()
     empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     sizes = np.diff(ends)

@@ -2,20 +2,26 @@
 
 One view is the text: hashed words and word shapes, and how repetitive and
 symbol-laden it is. The other is the page's metadata: source, language and
-length. Each view has a logistic classifier. In each round a view labels the
-documents of a pool that it is most sure of, with calibrated probabilities,
-and hands these pseudo-labels to the other view. At the end each view is
-calibrated on labelled rows kept apart, their log odds are combined by a
-logistic model of those rows, and every document is scored.
-
-The classifiers are fitted on bounded samples: at most ``labelled`` rows of
-the labels and ``pool`` documents without one, those of the smallest hashes of
-their ids. All documents are scored on their whole texts.
+length. Each view has a logistic classifier, fitted on labelled rows first. In
+each round both views score all documents without a label, wherever they are;
+each document of which a view is sure, by calibrated probabilities, is a
+pseudo-label for the other view. The views learn from them by gradient steps:
+tasks sum the gradients over all such documents, and the labelled rows' own
+gradient is added with twice the weight of all pseudo-labels, both classes
+weighing the same. So nothing depends on how many documents there are but how
+much they tell. At the end each view is calibrated on labelled rows kept apart,
+their log odds are combined by a logistic model of those rows, and every
+document is scored.
+
+Only the labelled rows are a bounded sample: at most ``labelled`` of them,
+those of the smallest hashes of their ids. Gradients are summed as whole
+numbers, so reruns agree. All documents are scored on their whole texts.
 
 Nulls: a null text or one without words is rejected with score 0; a null
 source, lang or length is a value of its own. Labels that repeat a document
-count by their mean. Where the labels lack one of the two classes nothing can
-be learned, and every document with words is kept with score 0.5.
+count by their mean; of rows that repeat a labelled id, the text of the
+smallest hash is learned from. Where the labels lack one of the two classes
+nothing can be learned, and every document with words is kept with score 0.5.
 """
 
 from __future__ import annotations
@@ -31,13 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hashloom.llm.common import hash_of
+from hashloom.llm.common import Scratch, coded_words, hash_of, tidy
 
-LABELLED, POOL, ROUNDS, GROW = 6000, 6000, 3, 400
+#: Labelled rows at most; rounds of exchange, and gradient steps over all documents in each.
+LABELLED, ROUNDS, STEPS = 6000, 3, 3
+#: Share of all pseudo-labels in a step, the rest being the labelled rows'.
+PSEUDO = 1 / 3
 WORDS, SHAPES, WHOLE, META = 1 << 14, 1 << 12, 6, 1 << 12
 TEXT = WORDS + SHAPES + WHOLE
 SURE_GOOD, SURE_BAD = 0.98, 0.9
-MEMORY, DOCS = 1 << 18, 500
+MEMORY, DOCS = 1 << 17, 500
+#: Gradients are summed in steps of GRAIN, in blocks of so many numbers, and first by so many tasks.
+GRAIN, BLOCK, SALTS = 2.0**-20, 4096, 16
 
 _SHAPE = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"))
 
@@ -68,29 +79,33 @@ class TextView:
         """Word and shape place of each word, words of each text, features of the whole."""
         if len(self.known) > MEMORY:
             self.__init__()
-        words = [x.encode("utf-8", "surrogatepass").split() if x else [] for x in texts]
-        flat = [w for x in words for w in x]
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(at < 0)
+        codes, sizes, words = coded_words(texts, lower=False)
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
         if len(new):
-            self._learn(list(dict.fromkeys(flat[i] for i in new)))
-            at[new] = [self.known[flat[i]] for i in new]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        whole = np.zeros((len(words), WHOLE), np.float32)
-        for i, (text, x) in enumerate(zip(texts, words, strict=True)):
-            if x:
-                lines = text.split("\n")
-                whole[i] = 1, len(set(x)) / len(x), len(set(lines)) / len(lines), len(lines) / len(x), len(text) / len(x) / 10, math.log(len(x)) / 10
-        return self.places[at], sizes, whole
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([words[i] for i in new])
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        pair = np.sort(doc * max(1, len(words)) + codes)
+        distinct = np.bincount(pair[np.diff(pair, prepend=-1) > 0] // max(1, len(words)), minlength=len(sizes))
+        whole = np.zeros((len(sizes), WHOLE), np.float32)
+        for i in np.flatnonzero(sizes).tolist():
+            lines, n = texts[i].split("\n"), int(sizes[i])
+            whole[i] = 1, distinct[i] / n, len(set(lines)) / len(lines), len(lines) / n, len(texts[i]) / n / 10, math.log(n) / 10
+        # A text without white space must not outweigh all else.
+        return self.places[place[codes]], sizes, np.minimum(whole, 1000)
 
     def sparse(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and values of each text's features."""
         places, sizes, whole = self.places_of(texts)
-        ends, out = np.cumsum(sizes), []
-        for i, (end, n) in enumerate(zip(ends, sizes, strict=True)):
-            at, count = np.unique(places[end - n : end], return_counts=True)
-            out.append((np.concatenate([at, np.arange(TEXT - WHOLE, TEXT)]), np.concatenate([count / max(n, 1) * 4, whole[i]]).astype(np.float32)))
-        return out
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        pair = np.sort((doc[:, None] * TEXT + places).reshape(-1))
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        of, at = pair[first] // TEXT, pair[first] % TEXT
+        x = (np.diff(np.append(first, len(pair))) * 4 / np.maximum(sizes[of], 1)).astype(np.float32)
+        cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
+        own = np.arange(TEXT - WHOLE, TEXT)
+        return [(np.concatenate([at[a:b], own]), np.concatenate([x[a:b], w])) for a, b, w in zip(cuts, cuts[1:], whole)]
 
     def odds(self, texts: list[str | None], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Linear score of each text under weights w (bias last), and its words."""
@@ -122,18 +137,23 @@ class Rows:
     def odds(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.x * w[self.at], self.n) + w[-1]
 
-    def fit(self, y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
-        """Weights and bias of a logistic model, by AdaGrad over all rows at once."""
-        w, g2 = np.zeros(self.width + 1), np.full(self.width + 1, 1e-8)
-        use = weight[self.row] > 0
-        row, at, x, total = self.row[use], self.at[use], self.x[use], max(weight.sum(), 1e-9)
-        for _ in range(steps):
-            p = sigmoid(np.bincount(row, x * w[at], self.n) + w[-1])
-            e = (p - y) * weight / total
-            g = np.append(np.bincount(at, x * e[row], self.width) + decay * w[:-1], e.sum())
-            g2 += g * g
-            w -= rate * g / np.sqrt(g2)
-        return w
+    def gradient(self, w: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sum of the rows' gradients, the bias last."""
+        e = (sigmoid(self.odds(w)) - y) * weight
+        return np.append(np.bincount(self.at, self.x * e[self.row], self.width), e.sum())
+
+
+class Fit:
+    """Weights and bias of a logistic model, moved by AdaGrad."""
+
+    def __init__(self, width: int, rate: float = 0.3, decay: float = 1e-4):
+        self.w, self.g2 = np.zeros(width + 1), np.full(width + 1, 1e-8)
+        self.rate, self.decay = rate, decay
+
+    def step(self, g: np.ndarray) -> None:
+        g = g + self.decay * np.append(self.w[:-1], 0.0)
+        self.g2 += g * g
+        self.w = self.w - self.rate * g / np.sqrt(self.g2)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -161,46 +181,105 @@ class CoTrained:
         self.text, self.meta, self.combined = text, meta, combined
 
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, rounds: int = ROUNDS, grow: int = GROW) -> CoTrained | None:
-    """y: 1, 0, or nan for documents of the pool. Every fifth labelled row calibrates."""
-    labelled = np.flatnonzero(~np.isnan(y))
-    apart = np.zeros(len(y), bool)
-    apart[labelled[::5]] = True
-    train = ~np.isnan(y) & ~apart
-    if len(set(y[train])) < 2 or len(set(y[apart])) < 2:
-        train = apart = ~np.isnan(y)
-        if len(set(y[labelled])) < 2:
-            return None
-    views, told = (text, meta), [y.copy(), y.copy()]
-    pool = np.isnan(y)
-    for turn in range(rounds + 1):
-        fitted, odds = [], []
-        for view, known in zip(views, told, strict=True):
-            use = ~np.isnan(known) & (train | pool)
-            target = np.nan_to_num(known)
-            # Both classes weigh the same, pseudo-labels a little less than labels.
-            share = max(1e-9, target[use].mean())
-            weight = use * np.where(target == 1, 0.5 / share, 0.5 / max(1e-9, 1 - share)) * np.where(pool, 0.5, 1.0)
-            w = view.fit(target, weight)
-            raw = view.odds(w)
-            a = logistic(raw[apart][:, None], y[apart])
-            fitted.append(w)
-            odds.append(raw * a[0] + a[1])
-        if turn == rounds:
-            break
-        for giver, taker in ((0, 1), (1, 0)):
-            p = np.where(pool & np.isnan(told[taker]), sigmoid(odds[giver]), 0.5)
-            good, bad = np.argsort(-p, kind="stable")[:grow], np.argsort(p, kind="stable")[: grow // 4]
-            told[taker][good[p[good] >= SURE_GOOD]] = 1
-            told[taker][bad[p[bad] <= 1 - SURE_BAD]] = 0
-    # Raw odds go in, so the combination also holds each view's calibration.
-    raw = np.column_stack([view.odds(w) for view, w in zip(views, fitted, strict=True)])
-    return CoTrained(fitted[0].astype(np.float64), fitted[1].astype(np.float64), logistic(raw[apart], y[apart]))
+def balanced(y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Weights of the rows in use, that sum to a half for either class."""
+    share = lambda mask: np.where(mask, 0.5 / max(1, mask.sum()), 0.0)
+    return share(use & (y == 1)) + share(use & (y == 0))
+
+
+class CoTraining:
+    """Both views while they are fitted, on the labelled rows and on what the tasks sum up."""
+
+    def __init__(self, text: Rows, meta: Rows, y: np.ndarray, steps: int = 150):
+        """y: 1 or 0. Every fifth labelled row calibrates."""
+        self.views, self.y = (text, meta), y
+        self.apart = np.zeros(len(y), bool)
+        self.apart[::5] = True
+        self.train = ~self.apart
+        if len(set(y[self.train])) < 2 or len(set(y[self.apart])) < 2:
+            self.train = self.apart = np.ones(len(y), bool)
+        self.weight = balanced(y, self.train)
+        self.fits = [Fit(view.width) for view in self.views]
+        for view, fit in zip(self.views, self.fits, strict=True):
+            for _ in range(steps):
+                fit.step(view.gradient(fit.w, y, self.weight))
+
+    def teachers(self) -> list[tuple[np.ndarray, float, float]]:
+        """Weights of each view, and factor and offset that calibrate its odds."""
+        return [(fit.w, *logistic(view.odds(fit.w)[self.apart][:, None], self.y[self.apart])) for view, fit in zip(self.views, self.fits, strict=True)]
+
+    def step(self, sums: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """sums: for each view, of the pseudo-labels 0 and 1, gradients and count."""
+        for view, fit, classes in zip(self.views, self.fits, sums, strict=True):
+            g, told = view.gradient(fit.w, self.y, self.weight), [x[:-1] / x[-1] for x in classes if x[-1] > 0]
+            fit.step(g if not told else (1 - PSEUDO) * g + PSEUDO * sum(told) / len(told))
+
+    def finished(self) -> CoTrained:
+        # Raw odds go in, so the combination also holds each view's calibration.
+        raw = np.column_stack([view.odds(fit.w) for view, fit in zip(self.views, self.fits, strict=True)])
+        return CoTrained(self.fits[0].w, self.fits[1].w, logistic(raw[self.apart], self.y[self.apart]))
+
+
+def pseudo_gradients(text: Rows, meta: Rows, teachers: list, weights: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """For each view and pseudo-label (0, 1): the sum of gradients over the rows that
+    the other view is sure of, and how many these are."""
+    views, out = (text, meta), []
+    sure = [sigmoid(view.odds(w) * a + b) for view, (w, a, b) in zip(views, teachers, strict=True)]
+    for view, p, w in zip(views, reversed(sure), weights, strict=True):
+        rows = [p <= 1 - SURE_BAD, p >= SURE_GOOD]
+        out.append([np.append(view.gradient(w, np.full(view.n, float(label)), use.astype(float)), use.sum()) for label, use in enumerate(rows)])
+    return out
+
+
+def _rows_of(pdf: pd.DataFrame) -> tuple[Rows, Rows]:
+    whole = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+    sizes = lambda c, kind: np.fromiter(map(len, pdf[c]), np.int64, len(pdf)) // np.dtype(kind).itemsize
+    meta = whole("meta", "<u2").astype(np.int64)
+    return Rows(sizes("at", "<u2"), whole("at", "<u2").astype(np.int64), whole("x", "<f2").astype(np.float32), TEXT), Rows(sizes("meta", "<u2"), meta, np.ones(len(meta), np.float32), META)
+
+
+def _exchanged(pool: DataFrame, teachers: list, weights: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """pseudo_gradients summed over all rows of the pool."""
+    spark = pool.sparkSession
+    shared = spark.sparkContext.broadcast((teachers, weights))
+
+    @tidy
+    def local(batches):
+        from pyspark import TaskContext
+
+        total: np.ndarray | int = 0
+        for pdf in batches:
+            for i in range(0, len(pdf), 4 * DOCS):
+                got = pseudo_gradients(*_rows_of(pdf.iloc[i : i + 4 * DOCS]), *shared.value)
+                total = total + np.rint(np.concatenate([x for view in got for x in view]) / GRAIN).astype(np.int64)
+        if not isinstance(total, int):
+            cuts = np.array_split(total, range(BLOCK, len(total), BLOCK))
+            yield pd.DataFrame({"block": range(len(cuts)), "salt": TaskContext.get().partitionId() % SALTS, "n": cuts})
+
+    @tidy
+    def added(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for block, salt, n in zip(pdf["block"], pdf["salt"], pdf["n"], strict=True):
+                sums[block, salt] = sums.get((block, salt), 0) + np.asarray(n, np.int64)
+        for (block, salt), n in sums.items():
+            yield pd.DataFrame({"block": [block], "salt": [salt], "n": [n]})
+
+    # Summed in two steps, so that no task meets the sums of all.
+    schema = "block int, salt int, n array<bigint>"
+    some = pool.mapInPandas(local, schema).repartition(SALTS, "salt").mapInPandas(added, schema)
+    got = some.withColumn("salt", F.lit(0)).coalesce(1).mapInPandas(added, schema).toPandas().sort_values("block")
+    sizes = [TEXT + 2, TEXT + 2, META + 2, META + 2]
+    flat = np.concatenate(list(got["n"])) * GRAIN if len(got) else np.zeros(sum(sizes))
+    parts = np.split(flat, np.cumsum(sizes)[:-1])
+    shared.destroy()
+    return [parts[:2], parts[2:]]
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """Sparse features of a bounded number of documents, made on the executors."""
+    """Sparse features of documents, made on the executors."""
 
+    @tidy
     def make(batches):
         view = TextView()
         for pdf in batches:
@@ -208,9 +287,9 @@ def _features(docs: DataFrame) -> DataFrame:
                 part = pdf.iloc[i : i + DOCS]
                 sparse = view.sparse(list(part["text"]))
                 meta = meta_features(part["source"], part["lang"], part["n_chars"])
-                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "at": [a.astype("<i4").tobytes() for a, _ in sparse], "x": [v.astype("<f4").tobytes() for _, v in sparse], "meta": [m.astype("<i4").tobytes() for m in meta]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "print": part["print"], "y": part["y"], "at": [a.astype("<u2").tobytes() for a, _ in sparse], "x": [v.astype("<f2").tobytes() for _, v in sparse], "meta": [m.astype("<u2").tobytes() for m in meta]})
 
-    return docs.mapInPandas(make, "doc_id bigint, y double, at binary, x binary, meta binary")
+    return docs.mapInPandas(make, "doc_id bigint, print bigint, y double, at binary, x binary, meta binary")
 
 
 def _columns(docs: DataFrame) -> list:
@@ -219,24 +298,29 @@ def _columns(docs: DataFrame) -> list:
     return [F.col(c).cast("string").alias(c) if c in has else F.lit(None).cast("string").alias(c) for c in ("source", "lang")] + [F.col("n_chars").cast("double").alias("n_chars") if "n_chars" in has else F.lit(None).cast("double").alias("n_chars")]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """A classifier from docs and labels (doc_id, quality 0 or 1)."""
+def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, steps: int = STEPS) -> CoTrained | None:
+    """A classifier from docs and labels (doc_id, quality 0 or 1): at most so many
+    labelled rows, and all documents beside them."""
+    scratch = Scratch(docs.sparkSession, "quality")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    marked = ids.join(known, "doc_id", "left")
-    order = [hash_of("doc_id"), F.col("doc_id")]
-    chosen = marked.where("y is not null").orderBy(*order).limit(labelled).unionByName(marked.where("y is null").orderBy(*order).limit(pool))
-    # Bounded by the two limits, so it may be broadcast.
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *_columns(docs)).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = _features(picked).toArrow().sort_by("doc_id").to_pandas()
-    if not len(got):
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(hash_of("doc_id"), F.col("doc_id")).limit(labelled)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("print"), "text", *_columns(docs))
+    # Bounded by the limit, so it may be broadcast.
+    marked = rows.join(F.broadcast(chosen), "doc_id", "left")
+    made = scratch.save(_features(marked), "features")
+    one = F.min(F.struct("print", "y", "at", "x", "meta")).alias("one")
+    got = made.where("y is not null").groupBy("doc_id").agg(one).select("doc_id", "one.*").toArrow().sort_by("doc_id").to_pandas()
+    if got["y"].nunique() < 2:
         return None
-    whole = lambda c, kind: np.frombuffer(b"".join(got.pop(c)), kind)
-    sizes, n, y = got["at"].map(len).to_numpy() // 4, got["meta"].map(len).to_numpy() // 4, got["y"].to_numpy(float)
-    text = Rows(sizes, whole("at", "<i4"), whole("x", "<f4"), TEXT)
-    meta = Rows(n, whole("meta", "<i4"), np.ones(n.sum(), np.float32), META)
-    del got
-    return co_train(text, meta, y, rounds)
+    both = CoTraining(*_rows_of(got), got["y"].to_numpy(float))
+    pool = made.where("y is null").select("at", "x", "meta")
+    for _ in range(rounds):
+        teachers = both.teachers()
+        for _ in range(steps):
+            both.step(_exchanged(pool, teachers, [fit.w for fit in both.fits]))
+    scratch.drop("features")
+    return both.finished()
 
 
 def _judged(batches, model: CoTrained | None, threshold: float, text: str = "text"):
@@ -247,7 +331,7 @@ def _judged(batches, model: CoTrained | None, threshold: float, text: str = "tex
             part = pdf.iloc[i : i + DOCS]
             texts = list(part[text])
             if model is None:
-                sizes = np.array([len(x.encode("utf-8", "surrogatepass").split()) if x else 0 for x in texts])
+                sizes = coded_words(texts)[1]
                 a, b, p = np.zeros(len(part)), np.zeros(len(part)), np.full(len(part), 0.5)
             else:
                 a, sizes = view.odds(texts, model.text)
@@ -264,6 +348,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *_columns(docs))
 
+    @tidy
     def judge(batches):
         for part, got in _judged(batches, shared.value, threshold):
             yield part[["doc_id"]].astype("Int64").join(got)
@@ -279,6 +364,7 @@ def keep_good(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5)
     judged = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), *_columns(docs))
     schema = T.StructType([T.StructField(names[f.name], f.dataType) for f in docs.schema.fields])
 
+    @tidy
     def judge(batches):
         for part, got in _judged(batches, shared.value, threshold, names["text"]):
             yield part.loc[got["kept"], list(names.values())]

@@ -116,7 +116,7 @@ def test_languages_of_odd_texts(documents):
 
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    model = fit_quality(docs, labels.where(~held_out("doc_id", 3, 0)), labelled=2500, pool=1500)
+    model = fit_quality(docs, labels.where(~held_out("doc_id", 3, 0)), labelled=2500)
     rest = docs.join(labels.where(held_out("doc_id", 3, 0)).select("doc_id", "quality"), "doc_id")
     got = score_quality(rest.drop("quality"), model).join(labels, "doc_id").toPandas()
     right = (got["score"] >= 0.5) == (got["quality"] == 1)
@@ -210,3 +210,53 @@ def test_wide_word_scores_keep_their_values():
     total, logs = model.unpacked(model.packed([b"a", b"b", b"c"], counts))
     assert total.tolist() == [5, (1 << 40) + 7, 0]
     assert np.allclose(logs[:2], model.log_words([b"a", b"b"], counts[:2]) / np.log(10), atol=0.0003)
+
+
+def test_exchange_sums_plain_gradients_of_all_sure_rows(spark):
+    """One exchange against a loop over dense rows, and the same however rows are dealt."""
+    from hashloom.llm import quality as Q
+
+    rng = np.random.default_rng(8)
+    rows, dense = [], []
+    for _ in range(200):
+        at, meta = np.sort(rng.choice(Q.TEXT, 30, replace=False)), np.sort(rng.choice(Q.META, 4, replace=False))
+        x = rng.random(30).astype("<f2")
+        rows.append((at.astype("<u2").tobytes(), x.tobytes(), meta.astype("<u2").tobytes()))
+        dense.append((at, x.astype(float), meta, np.ones(4)))
+    pool = spark.createDataFrame(rows, "at binary, x binary, meta binary")
+    w = [rng.normal(size=Q.TEXT + 1) * 2, rng.normal(size=Q.META + 1) * 2]
+    teachers = [(w[0], 1.5, 0.2), (w[1], 0.8, -0.1)]
+    now = [rng.normal(size=len(x)) for x in w]
+    want = [[np.zeros(Q.TEXT + 2), np.zeros(Q.TEXT + 2)], [np.zeros(Q.META + 2), np.zeros(Q.META + 2)]]
+    for at, x, meta, ones in dense:
+        sides = ((at, x), (meta, ones))
+        p = [1 / (1 + math.exp(-(a * ((v * t[i]).sum() + t[-1]) + b))) for (i, v), (t, a, b) in zip(sides, teachers)]
+        for view in (0, 1):
+            sure = p[1 - view]
+            label = 1 if sure >= Q.SURE_GOOD else 0 if sure <= 1 - Q.SURE_BAD else None
+            if label is not None:
+                i, v = sides[view]
+                e = 1 / (1 + math.exp(-((v * now[view][i]).sum() + now[view][-1]))) - label
+                want[view][label][i] += v * e
+                want[view][label][-2:] += e, 1
+    assert all(x[-1] > 5 for view in want for x in view)
+    one, many = (Q._exchanged(pool.repartition(n), teachers, now) for n in (1, 7))
+    for view in (0, 1):
+        for label in (0, 1):
+            assert np.allclose(one[view][label], want[view][label], atol=1e-3)
+            assert np.allclose(one[view][label], many[view][label], atol=1e-4)
+
+
+def test_pseudo_labels_move_the_views():
+    """A view learns of a feature that labelled rows never show, from the other view's labels."""
+    from hashloom.llm import quality as Q
+
+    y = np.array([0.0, 1.0] * 30)
+    text = Q.Rows(np.ones(60, int), np.where(y == 1, 5, 6), np.ones(60, np.float32), Q.TEXT)
+    meta = Q.Rows(np.ones(60, int), np.where(y == 1, 7, 8), np.ones(60, np.float32), Q.META)
+    both = Q.CoTraining(text, meta, y)
+    assert both.fits[0].w[9] == 0
+    pool = Q.Rows(np.ones(40, int), np.full(40, 9), np.ones(40, np.float32), Q.TEXT), Q.Rows(np.ones(40, int), np.full(40, 7), np.ones(40, np.float32), Q.META)
+    for _ in range(3):
+        both.step(Q.pseudo_gradients(*pool, both.teachers(), [f.w for f in both.fits]))
+    assert both.fits[0].w[9] > 0.1
