@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that came before, exactly or nearly."""
     importable(spark)
-    return keep_lines(docs, whole=True)
+    return keep_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written and read again."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    scratch.save(spark.range(1), "begun")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with Scratch.swept():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
     return docs
