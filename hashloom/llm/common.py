@@ -53,6 +53,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/hashloom-{name}-{uuid.uuid4().hex}"
         self.used = False
+        Scratch.made.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -61,7 +62,6 @@ class Scratch:
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(table))
         if not self.used:
             self.used = True
-            Scratch.made.append(self)
             path, files = self._at(self.root)
             files.deleteOnExit(path)
         return self.load(table, df.schema)
@@ -82,12 +82,14 @@ class Scratch:
     @classmethod
     @contextlib.contextmanager
     def swept(cls):
-        """Deletes the tables that are made within, which nothing may read later."""
+        """Deletes what the operators called within have written for themselves, which
+        nothing may read later."""
         before = list(cls.made)
         yield
         for scratch in [x for x in cls.made if x not in before]:
-            path, files = scratch._at(scratch.root)
-            files.delete(path, True)
+            if scratch.used:
+                path, files = scratch._at(scratch.root)
+                files.delete(path, True)
             cls.made.remove(scratch)
 
 

@@ -28,7 +28,6 @@ id is one node, to which the links of all its texts belong.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -290,6 +289,12 @@ def _smallest(classes: DataFrame, comps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach), kept."""
+    out = Scratch(docs.sparkSession, "near-duplicates")
+    with Scratch.swept():
+        return out.save(_near_duplicates(docs, width, percent), "found")
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "setsketch")
     made, classes, links = _classes(docs, scratch, width, percent)
     keys = ["h1", "h2", "n_shingles"]
@@ -312,21 +317,24 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     by doc_id, then by the text's hash. A row goes only for what its own text
     repeats. Rows without an id, and texts without words, stay; of rows that
     repeat both id and text one stays."""
-    scratch = Scratch(docs.sparkSession, "kept")
-    made, classes, links = _classes(docs, scratch, width, percent)
-    keys = ["h1", "h2", "n_shingles"]
-    comps = components(links, scratch, "all")
-    of = classes.join(comps, "id", "left").select(*keys, F.coalesce("component", "id").alias("__component"))
-    texts = made.where("doc_id is not null and n_shingles > 0").join(of, keys).select("doc_id", "print", "__component")
-    told = scratch.save(texts, "told")
-    first = told.groupBy("__component").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    gone = told.join(first, "__component").where("first.doc_id <> doc_id or first.print <> print").select("doc_id", "print").distinct()
-    twice = told.groupBy("doc_id", "print").agg(F.count("*").alias("m")).where("m > 1").select("doc_id", "print")
+    out = Scratch(docs.sparkSession, "kept")
+    with Scratch.swept():
+        scratch = Scratch(docs.sparkSession, "setsketch")
+        made, classes, links = _classes(docs, scratch, width, percent)
+        keys = ["h1", "h2", "n_shingles"]
+        comps = components(links, scratch, "all")
+        of = classes.join(comps, "id", "left").select(*keys, F.coalesce("component", "id").alias("__component"))
+        texts = made.where("doc_id is not null and n_shingles > 0").join(of, keys).select("doc_id", "print", "__component")
+        told = scratch.save(texts, "told")
+        first = told.groupBy("__component").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.count("*").alias("m")).where("m > 1")
+        gone = told.join(first, "__component").where("first.doc_id <> doc_id or first.print <> print").select("doc_id", "print").distinct()
+        twice = told.groupBy("doc_id", "print").agg(F.count("*").alias("m")).where("m > 1").select("doc_id", "print")
+        at = lambda df, name: out.save(df.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")), name)
+        gone, repeated = at(gone, "gone"), at(twice, "twice")
+    gone, repeated = small(gone), small(repeated)
     names = docs.columns
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("doc_id").cast("bigint").alias("__id"), F.xxhash64("text").alias("__print"))
-    at = lambda df: small(scratch.save(df.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")), f"at-{uuid.uuid4().hex}"))
-    left = rows.join(at(gone), ["__id", "__print"], "left_anti")
-    repeated = at(twice)
+    left = rows.join(gone, ["__id", "__print"], "left_anti")
     if repeated.take(1):
         once = left.join(repeated, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"])
         left = left.join(repeated, ["__id", "__print"], "left_anti").unionByName(once)
