@@ -52,7 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written and read again."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    scratch.save(spark.range(1), "begun")
     for name, stage in STAGES:
         with Scratch.swept():
             docs = scratch.save(stage(spark, docs, sf_dir), name)
