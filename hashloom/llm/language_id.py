@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.llm.common import tidy
+
 #: Where the blocks of a script begin, by code point.
 SCRIPTS = (
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -218,6 +220,7 @@ def learn(docs: DataFrame, penalty: float = PENALTY) -> Model | None:
         raise ValueError(f"{languages} languages; at most {TABLE >> 6} can be told apart")
     buckets = min(BUCKETS, TABLE // max(1, languages))
 
+    @tidy
     def count(batches):
         tables: dict[str, np.ndarray] = {}
         scripts: Counter = Counter()
@@ -260,6 +263,7 @@ def identify(docs: DataFrame, model: Model | None, *keep: str | Column) -> DataF
         return rows.select(*columns, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def tag(batches):
         tagger = Tagger(shared.value)
         for pdf in batches:

@@ -44,6 +44,9 @@ class Encoder:
         self.added = [x.content for x in self.lib.get_added_tokens_decoder().values() if x.content]
         # An added token with white space in it could come of chunks that are joined.
         self.cuts = type(self.lib.pre_tokenizer).__name__ == "ByteLevel" and self.lib.normalizer is None and not any(re.search(r"\s", x) for x in self.added)
+        # The library's own memory of words only costs time, as each chunk comes once.
+        if self.cuts and hasattr(self.lib.model, "_resize_cache"):
+            self.lib.model._resize_cache(0)
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         # In byte-level BPE a letter of a token's name stands for a byte.
         self.bytes = np.zeros(self.lib.get_vocab_size(), np.int64)

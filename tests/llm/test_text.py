@@ -260,3 +260,47 @@ def test_pseudo_labels_move_the_views():
     for _ in range(3):
         both.step(Q.pseudo_gradients(*pool, both.teachers(), [f.w for f in both.fits]))
     assert both.fits[0].w[9] > 0.1
+
+
+def test_languages_against_plain_counts(documents):
+    """Predictions of whole texts against n-gram counts, word scores and the best path
+    written out one by one."""
+    from hashloom.llm.language_id import BUCKETS, PENALTY, SMOOTH
+
+    told = [("the cat and the hat sat on the mat", "en"), ("one more of the lines with words", "en"), ("der hund und die katze sind auf dem dach", "de"), ("ein wort und noch ein wort f\u00fcr den tag", "de"), ("le chat et le chien sont dans la maison", "fr")]
+    asked = ["the dog and the cat", "die katze und der hund", "le chien est dans la rue", "the cat and die katze und der hund auf dem dach", "xyz", "a", "und the et der la of", "the hat on the mat le chat et le chien sont dans la maison"]
+    model = learn(documents([(i, t, lang) for i, (t, lang) in enumerate(told)]))
+    names = sorted({lang for _, lang in told})
+    mask = (1 << 32) - 1
+
+    def buckets(word):
+        out = [zlib.crc32(word)]
+        framed = b" " + word + b" "
+        for n in (2, 3, 4):
+            for a in range(len(framed) - n + 1):
+                h = n
+                for c, times in zip(framed[a : a + n], (2654435761, 2246822519, 3266489917, 668265263)):
+                    h = (h ^ c) * times & mask
+                    h ^= h >> 15
+                out.append(h)
+        return [((h * 2654435761 & mask) >> 8) % BUCKETS for h in out]
+
+    def split(text):
+        return re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]", b" ", text.lower().encode()).split()
+
+    counts = {lang: Counter(b for t, of in told if of == lang for w in split(t) for b in buckets(w)) for lang in names}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    got = {r["doc_id"]: r for r in identify(documents(list(enumerate(asked))), model, "doc_id").collect()}
+    for i, text in enumerate(asked):
+        words = split(text)
+        s = np.array([[sum(math.log((counts[lang][b] + SMOOTH) / (total[lang] + SMOOTH * BUCKETS)) for b in buckets(w)) / 3 for lang in names] for w in words])
+        s -= s.max(1, keepdims=True)
+        value, path = np.zeros(len(names)), [[] for _ in names]
+        for row in s:
+            best = int(value.argmax())
+            moved = [(value[best] - PENALTY, path[best]) if value[k] < value[best] - PENALTY else (value[k], path[k]) for k in range(len(names))]
+            value, path = np.array([v + row[k] for k, (v, _) in enumerate(moved)]), [[*p, k] for k, (_, p) in enumerate(moved)]
+        labels = path[int(value.argmax())]
+        share = [sum(len(w) for w, k in zip(words, labels) if k == j) for j in range(len(names))]
+        assert got[i]["lang_pred"] == names[int(np.argmax(share))], text
+        assert got[i]["score"] == pytest.approx(max(share) / sum(share)), text
