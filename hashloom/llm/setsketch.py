@@ -145,7 +145,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInPandas(make, "doc_id bigint, print bigint, n_shingles bigint, h1 bigint, h2 bigint, regs binary")
 
 
-def _with_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _with_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
     """id, hashes of the classes with the given ids (distinct)."""
 
     @tidy
@@ -158,7 +158,7 @@ def _with_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int)
                 mine = [_print(s) == x for s, x in zip(sets, zip(part["h1"], part["h2"], strict=True), strict=True)]
                 yield pd.DataFrame({"id": part["id"], "hashes": [s.tobytes() for s in sets]})[mine]
 
-    wanted = classes.join(ids, "id").select("id", "h1", "h2", F.col("least").alias("doc_id"))
+    wanted = scratch.save(classes.join(ids, "id").select("id", "h1", "h2", F.col("least").alias("doc_id")), name)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.join(small(wanted), "doc_id").select("id", "h1", "h2", "text").mapInPandas(make, "id bigint, hashes binary").dropDuplicates(["id"])
 
@@ -228,7 +228,7 @@ def _classes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tup
     often = shared.where("id <> least").groupBy("id", "least").agg(F.count("*").alias("times"))
     pairs = scratch.save(often.groupBy("id").agg(F.max(F.struct("times", (-F.col("least")).alias("l"))).alias("best")).select("id", (-F.col("best.l")).alias("least")), "stars")
     ids = pairs.select("id").union(pairs.select("least")).distinct()
-    sets = scratch.save(_with_sets(docs, reps, ids, width), "star-sets")
+    sets = scratch.save(_with_sets(docs, reps, ids, width, scratch, "star-ids"), "star-sets")
     a, b = sets.withColumnRenamed("hashes", "ha"), sets.select(F.col("id").alias("least"), F.col("hashes").alias("hb"))
 
     @tidy
@@ -258,7 +258,7 @@ def _classes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tup
 
     schema = "key bigint, band int, a int, b int, id bigint, comp bigint, part int, own boolean, n bigint, regs binary"
     likely = scratch.save(sorted_(looked).mapInPandas(search, schema), "likely")
-    more_sets = _with_sets(docs, reps, likely.select("id").distinct(), width)
+    more_sets = _with_sets(docs, reps, likely.select("id").distinct(), width, scratch, "likely-ids")
 
     @tidy
     def compare(batches):
