@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.common import hash_of
+from hashloom.llm.common import Scratch, hash_of, small
 
 CELL = ["key", "band", "a", "b"]
 
 
-def cells(members: DataFrame, comps: DataFrame, chunk: int) -> DataFrame:
+def cells(members: DataFrame, comps: DataFrame, chunk: int, scratch: Scratch | None = None) -> DataFrame:
     """key, band, a, b (the cell), id, comp and part of members (key, band, id, load)
     of buckets in several components, by comps (id, component; a member that is not
     in it is alone). Pairs to compare are those of different parts, and of the
@@ -32,7 +32,8 @@ def cells(members: DataFrame, comps: DataFrame, chunk: int) -> DataFrame:
     stats = per.groupBy("key", "band").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp", "w")).alias("most"), F.sum("w").alias("w")).where("comps > 1")
     chunks = lambda w: F.greatest(F.lit(1), F.ceil(w / chunk)).cast("int")
     stats = stats.select("key", "band", F.col("most.comp").alias("largest"), chunks(F.col("most.w")).alias("inner"), chunks(F.col("w") - F.col("most.w")).alias("outer"))
-    rows = known.join(stats, ["key", "band"]).withColumn("main", F.col("comp") == F.col("largest"))
+    # A table of its own, so that a large bucket's rows need not meet in one task.
+    rows = known.join(small(scratch.save(stats, "cell-stats")) if scratch else stats, ["key", "band"]).withColumn("main", F.col("comp") == F.col("largest"))
     place = F.pmod(hash_of("id"), F.when(F.col("main"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
     rows = rows.withColumn("place", place)
     every = lambda n: F.sequence(F.lit(0), n - 1)

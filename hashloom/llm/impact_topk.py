@@ -28,7 +28,7 @@ from hashloom.llm.common import Scratch
 from hashloom.llm.vectors import search, top, usable
 
 LEVELS = 8
-CHECKS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+CHECKS = (0.7, 0.85)
 
 
 class ImpactIndex:
@@ -37,6 +37,7 @@ class ImpactIndex:
     def __init__(self, x: np.ndarray, levels: int = LEVELS):
         self.x, (self.n, self.d) = x, x.shape
         self.order = np.argsort(x, axis=0, kind="stable").T.copy()
+        self.columns = x.T.copy()
         self.values = np.take_along_axis(x, self.order.T, 0).T.copy()
         self.cuts = []
         for v in self.values:
@@ -58,11 +59,14 @@ class ImpactIndex:
     def possible(self, acc: np.ndarray, q: np.ndarray, unread: dict[int, tuple[int, int]], k: int) -> np.ndarray:
         """Rows that can still be among the k best. unread: by dimension, the
         greatest unread impact and the outermost unread value."""
-        bound = acc.copy()
+        least = np.partition(acc, self.n - k)[self.n - k]
+        # Rows that could not get there if all that is unread were theirs need no bound of their own.
+        rows = np.flatnonzero(acc + sum(most for most, _ in unread.values()) >= least)
+        bound = acc[rows]
         for j, (most, edge) in unread.items():
-            column = self.x[:, j]
+            column = self.columns[j][rows]
             bound += np.where(column <= edge if q[j] > 0 else column >= edge, most, 0)
-        return np.flatnonzero(bound >= np.partition(acc, self.n - k)[self.n - k])
+        return rows[bound >= least]
 
     def search(self, q: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Positions and scores of the k best rows, and how many segments were read."""

@@ -242,7 +242,7 @@ def _classes(docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tup
 
     # Buckets that the stars have left in pieces.
     load = shared.select("key", "band", "id", (1 + F.floor(F.col("n") / SHINGLES)).alias("load"))
-    members = scratch.save(cells(load, comps, CHUNK), "members")
+    members = scratch.save(cells(load, comps, CHUNK, scratch), "members")
     looked = members.join(reps.select("id", "n", "regs"), "id")
     sorted_ = lambda df: df.repartition(parts, *CELL).sortWithinPartitions(*CELL, "id")
     columns = [*CELL, "id", "comp", "part", "own", "n", "regs"]
