@@ -4,26 +4,23 @@ A line is normalised to its words, A-Z lower-cased. Equal lines are one class,
 however short. Each class has a SimHash of its distinct words, of 128 bits. Two lines
 are linked if their word edit similarity reaches the threshold.
 
-Candidates share a block. d edits leave one of the d + 1 stretches of a line
-between them as it was; at similarity 0.8 the longest stretch has at least
-three words, but where the middle word of five is changed, for which the other
-four make a block of their own. So the blocks are runs of three words: the
-blocks of the SimHash itself are of no use here, as similar lines differ in a
-fifth of its bits, so that each block would have to be probed with
-several errors. A line of up to BLOCKS + 2 words is met by all its blocks,
-which misses no pair; of a longer one, the first BLOCKS blocks are
-taken in an order at random that favours long words, which are rare ones: a
-sketch of which similar lines share one in all but a few of a hundred cases. Of
-the candidates, those whose SimHashes are near are verified on the lines
-themselves.
-
-Members of a bucket are first matched with its head, which links most groups
-to stars without pairing their members. Buckets that are then still in several
-components are looked into, dealt to cells (see buckets). A bucket of more than
-HOT members, as a common phrase makes, is first cut by the word before the
-block and by the word behind it. So no bucket is dropped or capped, and no
-group is paired out. Each connected group keeps one occurrence, the first by
-id and line.
+Candidates share a block. d edits leave one of d + 1 disjoint blocks of a line as it
+was. Blocks are runs of three words, of which similar lines have one in common,
+but for lines of five words with another one in the middle, and of four and five
+words: these are also met by what is left of five words without any one of them.
+All blocks of all different lines are counted, and a line is met by its rarest
+ones, up to the first that makes d + 1 of them disjoint: all blocks before the
+rarest that two similar lines share are changed by the edits, so that both lines
+are met by it. No pair is missed, whatever the length. A block that no other line
+has needs not be told, and a line with d + 1 disjoint blocks of its own is done with.
+
+Members of a bucket near its head by SimHash are tried first, which links most
+groups to stars without pairing their members. Buckets that are then still in several
+components are looked into, dealt to cells (see buckets); there only pairs go
+that so many edits cannot account for, by length and by 128 bits of which each
+word turns over one. All others are verified on the lines themselves. So no
+bucket is dropped, cut or capped. Each connected group keeps one occurrence,
+the first by id and line.
 
 Lines are told apart by 64-bit hashes of their word sequences. Nulls: a null
 text stays null; a null id is an id of its own, before others. Rows that repeat
@@ -46,18 +43,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.buckets import CELL, cells, groups
-from hashloom.llm.common import WORD, Scratch, coded_words, small, tidy, words
+from hashloom.llm.common import WORD, Scratch, coded_words, pieces, release, small, tidy
 from hashloom.llm.components import components
 from hashloom.llm.setsketch import Links, _mix
 
-#: Of 64 and of 128 bits of SimHash: those in which a pair that is verified may differ.
-SIMILAR, FAR, FAR_WHOLE = 0.8, 24, 42
-#: Words of a block, and blocks of a line at most.
-RUN, BLOCKS = 3, 8
-#: Members beyond which a bucket is cut by neighbouring words.
-HOT = 4096
+#: Bits of a SimHash in which a line may differ from a bucket's head to be tried first.
+SIMILAR, FAR = 0.8, 24
+#: Words of a block; lines of so many words are also met by what one edit leaves.
+RUN, FIVE = 3, 5
+#: Lines of a cell beyond which pairs are met by their rarest words, and compared in it.
+HOT = 8
 #: Load of a cell's chunk: a line counts 1, and 1 more for each WORDS of its words.
 CHUNK, WORDS = 1536, 64
+#: Bytes of lines whose blocks are counted and looked up together, and that are hashed at once.
+PIECE, AT_ONCE = 4 << 20, 128 << 10
 DOCS = 400
 
 
@@ -171,92 +170,292 @@ def may_reach(a: list[bytes], sa: set[bytes], b: list[bytes], sb: set[bytes], si
     return max(len(sa - sb), len(sb - sa), abs(len(a) - len(b))) <= edits(max(len(a), len(b)), similar)
 
 
-def block_orders(key: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each block a number in 0 .. 1, a random one of its key that tends to be
-    smaller for more bytes: long words are rare ones, and their blocks selective."""
-    u = ((key >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-    x = -np.log(u) / size.astype(np.float64) ** 4
-    return x / (x + 1e-5)
+#: Base of the rolling hash, its inverse, and a number for each byte.
+_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def line_blocks(h: np.ndarray, width: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, key and neighbours (hashes of 16 bits of the words before and behind,
-    0 at an end) of the blocks of lines, whose words have the hashes h and so many
-    bytes (width); of each line the first by block_orders, so many at most."""
-    runs = np.maximum(sizes - RUN + 1, 0)
-    line = np.repeat(np.arange(len(sizes)), runs)
+@cache
+def _table(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n; a table for lines of usual lengths is kept."""
+    return _table(base, 2 * AT_ONCE)[: n + 1] if n <= 2 * AT_ONCE else _table.__wrapped__(base, n)
+
+
+class Rolled:
+    """The words of normalised lines (A-Z lower-cased, one space between words), and
+    hashes of stretches of them from running sums over the bytes."""
+
+    def __init__(self, values: list[bytes]):
+        ends = np.cumsum([len(v) for v in values])
+        buf = np.frombuffer(b"".join(values), np.uint8)
+        space, first = buf == 32, np.zeros(len(buf) + 1, bool)
+        first[1:], first[ends[:-1]], first[0] = space, True, True
+        last = np.append(space, False)
+        last[ends] = True
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last)
+        self.sizes = np.diff(np.searchsorted(self.starts, np.concatenate([[0], ends])))
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTES[buf] * _powers(_BASE, len(buf))[:-1], out=self.sums[1:])
+        self.back = _powers(_BACK, len(buf))[self.starts]
+
+    def stretch(self, a: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n words from word a on."""
+        return _mix((self.sums[self.ends[a + n - 1]] - self.sums[self.starts[a]]) * self.back[a] + np.uint64(n))
+
+
+def _some(values: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Stretches of lines of some AT_ONCE bytes, which a processor's cache holds, and where they begin."""
+    begin = size = 0
+    for i, v in enumerate(values):
+        size += len(v)
+        if size >= AT_ONCE:
+            yield begin, values[begin : i + 1]
+            begin, size = i + 1, 0
+    if begin < len(values):
+        yield begin, values[begin:]
+
+
+def line_blocks(of: Rolled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key and place in the line of all blocks of lines, line after line: the runs
+    of RUN words; of lines of FIVE words (at place -1) also what is left without any one
+    word, and of those with a word less, the whole line in the same form."""
+    runs = np.maximum(of.sizes - RUN + 1, 0)
+    first = np.cumsum(of.sizes) - of.sizes
+    line = np.repeat(np.arange(len(runs)), runs)
     at = np.arange(len(line)) - np.repeat(np.cumsum(runs) - runs, runs)
-    word = starts[line] + at
-    key, size = np.full(len(word), RUN, np.uint64), np.zeros(len(word), width.dtype)
-    for x in range(RUN):
-        key = _mix(key + h[word + x] + np.uint64(x + 1))
-        size += width[word + x]
-    # Five words without the middle one.
-    five = np.flatnonzero(sizes == 5)
-    if len(five):
-        around = np.full(len(five), 4, np.uint64)
-        for x in (0, 1, 3, 4):
-            around = _mix(around + h[starts[five] + x] + np.uint64(x + 1))
-        line, key, at = np.concatenate([line, five]), np.concatenate([key, around]), np.concatenate([at, np.full(len(five), -1)])
-        word, size = np.concatenate([word, starts[five]]), np.concatenate([size, np.full(len(five), 24, width.dtype)])
-    order = np.argsort(line + block_orders(key, size))
-    rank = np.arange(len(line)) - np.searchsorted(line[order], np.arange(len(sizes)))[line[order]]
-    order = order[rank < most]
-    line, key, at, word = line[order], key[order], at[order], word[order]
-    once = np.ones(len(line), bool)
-    once[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-    line, key, at, word = line[once], key[once], at[once], word[once]
-    short = lambda x: ((x & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.int64)
-    before = np.where(at > 0, short(h[np.maximum(word - 1, 0)]), 0)
-    behind = np.where((at >= 0) & (at + RUN < sizes[line]), short(h[np.minimum(word + RUN, len(h) - 1)]), 0)
-    return line, key, before << 16 | behind
-
-
-#: Columns of _lines.
-TYPES = {"doc_id": pa.int64(), "print": pa.int64(), "line": pa.int32(), "h": pa.int64(), "n": pa.int32(), "sim": pa.int64(), "sim2": pa.int64(), "keys": pa.list_(pa.int64()), "sides": pa.list_(pa.int32()), "value": pa.string()}
-
-
-def line_rows(part: pa.RecordBatch, min_words: int, similar: float) -> pa.RecordBatch:
-    """The rows of _lines of some documents (doc_id, print, text)."""
-    split = pc.split_pattern(part["text"], "\n")
-    lines, sizes = split.flatten(), np.diff(split.offsets.to_numpy())
-    same, n, of = _coded_lines(lines)
-    doc = np.repeat(np.arange(len(split)), sizes)
-    line = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    use = np.flatnonzero(n >= max(min_words, 1))
-    _, once = np.unique(same[use], return_index=True)
-    once.sort()
-    least = next(m for m in range(1, 1 << 20) if edits(m, similar))
-    fuzzy = use[once][n[use[once]] >= least]
-    starts = (np.cumsum(n) - n)[fuzzy]
-    block, key, side = line_blocks(of.hashes[of.codes], of.width[of.codes], starts, n[fuzzy], BLOCKS)
-    count, sim, value = np.zeros(len(lines), np.int64), np.zeros((2, len(lines)), np.uint64), np.full(len(lines), -1, np.int64)
-    count[fuzzy] = np.bincount(block, minlength=len(fuzzy))
-    sim[:, fuzzy] = of.simhash(starts, n[fuzzy])
-    value[fuzzy] = fuzzy
-    ends = np.concatenate([[0], np.cumsum(count[use])]).astype(np.int32)
-    which = pa.array(doc[use])
-    columns = {
-        "doc_id": part["doc_id"].take(which), "print": part["print"].take(which), "line": line[use], "h": same[use].view(np.int64), "n": n[use], "sim": sim[0, use].view(np.int64), "sim2": sim[1, use].view(np.int64),
-        "keys": pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64))), "sides": pa.ListArray.from_arrays(ends, pa.array(side.astype(np.uint32).view(np.int32))),
-        "value": lines.take(pa.array(value[use], mask=value[use] < 0)).cast(pa.string()),
-    }
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, TYPES[c]) for c, x in columns.items()], names=list(TYPES))
-
-
-def _lines(docs: DataFrame, min_words: int, similar: float) -> DataFrame:
-    """doc_id, print, line, h and n (words) of the lines that take part, and of a
-    class that may have similar ones once a batch: sim, its blocks' keys and sides,
-    and value, the line."""
+    key = of.stretch(first[line] + at, RUN)
+    lines, keys, places = [line], [key], [at]
+    for size, lefts in ((FIVE, [[x for x in range(FIVE) if x != gone] for gone in range(FIVE)]), (FIVE - 1, [list(range(FIVE - 1))])):
+        some = np.flatnonzero(of.sizes == size)
+        for left in lefts:
+            k = np.full(len(some), 4, np.uint64)
+            for x in left:
+                k = _mix(k + of.stretch(first[some] + x, 1) + np.uint64(1))
+            lines, keys, places = [*lines, some], [*keys, k], [*places, np.full(len(some), -1)]
+    line, key, at = map(np.concatenate, (lines, keys, places))
+    if len(at) and at[-1] >= 0:
+        return line, key, at
+    order = np.argsort(line, kind="stable")
+    return line[order], key[order], at[order]
+
+
+def _disjoint(places: list[int]) -> int:
+    """The most of the runs at these sorted places that have no word in common."""
+    n, free = 0, 0
+    for x in places:
+        if x >= free:
+            n, free = n + 1, x + RUN
+    return n
+
+
+def rarest(key: np.ndarray, at: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the blocks of a line by which it is met: the rarest ones, up to the
+    first that makes most + 1 of them disjoint, without those that no other line has.
+    So many edits cannot change them all, and of the blocks that two similar lines
+    share, the rarest is in both their choices."""
+    order = np.lexsort((key, count))
+    places = at[order].tolist()
+    if _disjoint(sorted(places)) > most:
+        low, high = 1, len(places)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if _disjoint(sorted(places[:mid])) > most else (mid + 1, high)
+        order = order[:low]
+    return order[count[order] > 1]
+
+
+def word_bits(of: Rolled) -> np.ndarray:
+    """128 bits a line (as two rows of 64): each word turns over one of them. An edit
+    changes two bits at most."""
+    bit = (of.stretch(np.arange(len(of.starts)), 1) >> np.uint64(7)) & np.uint64(127)
+    one, first = np.left_shift(np.uint64(1), bit & np.uint64(63)), np.cumsum(of.sizes) - of.sizes
+    return np.stack([np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == x, one, np.uint64(0)), first) for x in (0, 1)])
+
+
+def _split(part: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+    """Row, line number and normalised line of all lines with words of some texts."""
+    for i, text in enumerate(part["text"].cast(pa.large_binary()).to_pylist()):
+        for j, line in enumerate(text.lower().split(b"\n")):
+            if found := line.split():
+                yield i, j, b" ".join(found)
+
+
+def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, print, line and h of the lines that take part."""
 
     @tidy
     def make(batches):
         for got in batches:
             for i in range(0, len(got), DOCS):
-                yield line_rows(got.slice(i, DOCS), min_words, similar)
+                part = got.slice(i, DOCS)
+                rows = [(a, j, xxhash.xxh3_64_intdigest(v)) for a, j, v in _split(part) if v.count(b" ") + 1 >= min_words]
+                at = pa.array([x[0] for x in rows], pa.int64())
+                h = np.array([x[2] for x in rows], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(at), part["print"].take(at), pa.array([x[1] for x in rows], pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "print", "line", "h"])
+
+    return _texts(docs).mapInArrow(make, "doc_id bigint, print bigint, line int, h bigint")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("print"), "text").where("text is not null")
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("print"), "text").where("text is not null")
-    return rows.mapInArrow(make, "doc_id bigint, print bigint, line int, h bigint, n int, sim bigint, sim2 bigint, keys array<bigint>, sides array<int>, value string")
+
+def _classes(docs: DataFrame, parts: int, least: int) -> DataFrame:
+    """chunk, h and value (normalised) of each different line of so many words at least.
+    A chunk is some PIECE bytes of lines."""
+
+    @tidy
+    def split(batches):
+        for got in batches:
+            for i in range(0, len(got), DOCS):
+                once = {v for _, _, v in _split(got.slice(i, DOCS)) if v.count(b" ") + 1 >= least}
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, once), np.uint64, len(once))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(once), pa.binary())], names=["h", "value"])
+
+    @tidy
+    def differ(batches):
+        from pyspark import TaskContext
+
+        last, held, chunk = None, 0, TaskContext.get().partitionId() << 32
+        for got in batches:
+            h = got["h"].to_numpy()
+            fresh = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+            if len(h):
+                fresh[0], last = h[0] != last, h[-1]
+            part = got.filter(pa.array(fresh))
+            before = held + np.cumsum(pc.binary_length(part["value"]).to_numpy(zero_copy_only=False).astype(np.int64))
+            held = int(before[-1]) if len(before) else held
+            yield pa.RecordBatch.from_arrays([pa.array(chunk + before // PIECE, pa.int64()), part["h"], part["value"].cast(pa.binary())], names=["chunk", "h", "value"])
+
+    rows = _texts(docs).select("text").mapInArrow(split, "h bigint, value binary")
+    return rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(differ, "chunk bigint, h bigint, value binary")
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut where a column changes."""
+    for got in batches:
+        x = got[column].to_numpy()
+        cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield got.slice(a, b - a)
+
+
+def _counts(classes: DataFrame, bits: int, parts: int) -> DataFrame:
+    """chunk, codes and counts (binary: i64, u8) of a chunk's blocks that come again
+    anywhere, by how often they do, 255 at most. A block is told by its first
+    32 + bits bits, of which the first bits say its range."""
+
+    @tidy
+    def tell(batches):
+        for got in _stretches(batches, "chunk"):
+            found = [line_blocks(Rolled(x))[1] for _, x in _some(got["value"].to_pylist())]
+            code, n = np.unique(np.concatenate(found) >> np.uint64(32 - bits), return_counts=True)
+            of, n = (code >> np.uint64(32)).astype(np.int64), np.minimum(n, 255).astype(np.uint8)
+            cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
+            low = code.astype("<u4")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(of[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, got["chunk"][0].as_py())), pa.array([low[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                names=["range", "chunk", "low", "n"],
+            )
+
+    @tidy
+    def count(batches):
+        for group in groups(batches, ["range"]):
+            low = [np.frombuffer(x, "<u4") for x in group["low"]]
+            # Sorted with their places in one number.
+            code = np.concatenate(low).astype(np.uint64) << np.uint64(32) | np.arange(sum(map(len, low)), dtype=np.uint64)
+            code.sort()
+            place, code = (code & np.uint64(0xFFFFFFFF)).astype(np.int64), code >> np.uint64(32)
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            sums = np.minimum(np.add.reduceat(np.frombuffer(b"".join(group["n"]), np.uint8)[place].astype(np.int64), first), 255).astype(np.uint8)
+            total, at, out = np.empty(len(code), np.uint8), 0, []
+            total[place] = np.repeat(sums, np.diff(np.append(first, len(code))))
+            for chunk, of, x in zip(group["chunk"], group["range"], low, strict=True):
+                n = total[at : at + len(x)]
+                at += len(x)
+                if (n > 1).any():
+                    out.append((chunk, ((of << 32) + x[n > 1].astype("<i8")).tobytes(), n[n > 1].tobytes()))
+            yield pd.DataFrame(out, columns=["chunk", "codes", "counts"])
+
+    told = classes.select("chunk", "value").mapInArrow(tell, "range bigint, chunk bigint, low binary, n binary")
+    return told.repartition(parts, "range").sortWithinPartitions("range").mapInPandas(count, "chunk bigint, codes binary, counts binary")
+
+
+def near_rows(h: np.ndarray, values: list[bytes], codes: np.ndarray, counts: np.ndarray, bits: int, similar: float) -> pa.RecordBatch:
+    """The rows of _near of some lines, by the counts of the blocks that come again."""
+    of = Rolled(values)
+    line, key, at = line_blocks(of)
+    key = (key >> np.uint64(32 - bits)).astype(np.int64)
+    found = np.minimum(np.searchsorted(codes, key), max(len(codes) - 1, 0))
+    count = np.where(codes[found] == key, counts[found], 1) if len(codes) else np.ones(len(key), np.int64)
+    ends, keys, use = np.searchsorted(line, np.arange(len(values) + 1)).tolist(), [], []
+    for i in np.flatnonzero(np.bincount(line[count > 1], minlength=len(values))).tolist():
+        a, b, n = ends[i], ends[i + 1], int(of.sizes[i])
+        most = edits(int(n / similar + 1e-9), similar)
+        # A line whose own blocks are out of reach for so many edits has no partner.
+        if n <= FIVE or _disjoint(at[a:b][count[a:b] == 1].tolist()) <= most:
+            chosen = np.flatnonzero(count[a:b] > 1) if n <= FIVE else rarest(key[a:b], at[a:b], count[a:b], most)
+            if len(chosen):
+                keys.append(np.unique(key[a:b][chosen]))
+                use.append(i)
+    held = [values[i] for i in use]
+    lines = pa.array(held, pa.binary())
+    sim, sig = line_codes(lines.view(pa.string()))[1], word_bits(Rolled(held)) if held else np.zeros((2, 0), np.uint64)
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+    columns = {"h": h[use], "n": of.sizes[use].astype(np.int32), "sim": sim.view(np.int64), "sig": np.ascontiguousarray(sig[0]).view(np.int64), "sig2": np.ascontiguousarray(sig[1]).view(np.int64), "keys": pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))}
+    return pa.RecordBatch.from_arrays([*(x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()), lines], names=[*columns, "value"])
+
+
+def _near(classes: DataFrame, counts: DataFrame, bits: int, parts: int, similar: float) -> DataFrame:
+    """h, n (words), sim, sig, sig2, keys (of blocks) and value of the lines that may have
+    similar ones. A chunk's counts come before its lines."""
+
+    @tidy
+    def choose(batches):
+        chunk, codes, held = None, [], []
+        for got in _stretches(batches, "chunk"):
+            if got["chunk"][0].as_py() != chunk:
+                chunk, codes, held, table = got["chunk"][0].as_py(), [], [], None
+            told = got.filter(pc.is_valid(got["codes"]))
+            codes += [np.frombuffer(x, "<i8") for x in told["codes"].to_pylist()]
+            held += [np.frombuffer(x, np.uint8) for x in told["counts"].to_pylist()]
+            lines = got.filter(pc.is_valid(got["h"]))
+            if len(lines):
+                if table is None:
+                    all_, n = np.concatenate([np.zeros(0, np.int64), *codes]), np.concatenate([np.zeros(0, np.uint8), *held])
+                    order = np.argsort(all_)
+                    table = all_[order], n[order].astype(np.int64)
+                h = lines["h"].to_numpy(zero_copy_only=False).astype(np.int64)
+                for at, values in _some(lines["value"].to_pylist()):
+                    yield near_rows(h[at : at + len(values)], values, *table, bits, similar)
+
+    none = [F.lit(None).cast("binary").alias(c) for c in ("codes", "counts")]
+    rows = counts.select("chunk", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("binary").alias("value"), "codes", "counts").unionByName(classes.select("chunk", "h", "value", *none))
+    rows = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("h").isNotNull())
+    return rows.mapInArrow(choose, "h bigint, n int, sim bigint, sig bigint, sig2 bigint, keys array<bigint>, value binary")
+
+
+def _lines(docs: DataFrame, scratch: Scratch, parts: int, min_words: int, similar: float) -> DataFrame:
+    """The rows of _near of the different lines of all texts."""
+    spark, least = docs.sparkSession, next(m for m in range(1, 1 << 20) if edits(int(m / similar + 1e-9), similar))
+    classes = scratch.save(_classes(docs, parts, max(min_words, least)), "classes")
+    release(spark)
+    size = classes.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("n")).first()["n"]
+    # Ranges of some two million blocks, if words have six bytes.
+    bits = min(31, pieces(size, 12 << 20).bit_length() - 1)
+    counts = scratch.save(_counts(classes, bits, parts), "counts")
+    release(spark)
+    near = scratch.save(_near(classes, counts, bits, parts, similar), "near")
+    scratch.drop("classes", "counts")
+    release(spark)
+    return near
 
 
 def _within(a: str, b: str):
@@ -264,76 +463,78 @@ def _within(a: str, b: str):
 
 
 def _buckets(entries: DataFrame) -> DataFrame:
-    """key, m (entries), and the least and the greatest class (a, b) with their
-    SimHashes, of the buckets that more than one class is in."""
-    both = [F.min("h").alias("a"), F.max("h").alias("b"), F.min_by("sim", "h").alias("sa"), F.max_by("sim", "h").alias("sb")]
-    return entries.groupBy("key").agg(F.count("*").alias("m"), *both).where("a <> b")
+    """key, m (entries), the least and the greatest class (a, b), and, of buckets of two,
+    in how many word bits they differ, of the buckets that more than one class is in."""
+    bits = F.bit_count(F.bit_xor("sig")) + F.bit_count(F.bit_xor("sig2"))
+    return entries.groupBy("key").agg(F.count("*").alias("m"), F.min("h").alias("a"), F.max("h").alias("b"), bits.alias("bits"), F.min("n").alias("least"), F.max("n").alias("most")).where("m > 1")
 
 
-def _met(entries: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) of buckets of two, and the members (key, m, h, n, sim, side,
-    and the head a with its SimHash sa) of the larger ones. entries: key, h, n, sim, side."""
-    found = scratch.save(_buckets(entries.select("key", "h", "sim")), f"{name}-buckets")
-    pairs = found.where("m = 2").where(_within("sa", "sb")).select("a", "b")
-    larger = small(found.where("m > 2").select("key", "m", "a", "sa"))
-    return pairs, scratch.save(entries.join(larger, "key").dropDuplicates(["key", "h"]), f"{name}-members")
-
-
-def _verified(cut: dict, x: str, y: str, similar: float) -> bool:
+def _verified(cut: dict, x: bytes, y: bytes, similar: float) -> bool:
     for v in (x, y):
         if v not in cut:
-            cut[v] = (w := words(v), set(w))
+            cut[v] = (w := v.split(), set(w))
     return may_reach(*cut[x], *cut[y], similar) and edit_similarity(cut[x][0], cut[y][0]) >= similar
 
 
-def _links(docs_lines: DataFrame, scratch: Scratch, parts: int, similar: float) -> DataFrame:
-    """Links (a, b) of similar classes, that connect each group."""
-    full = docs_lines.where("size(keys) > 0")
-    entries = full.select("h", "n", "sim", "sim2", F.inline(F.arrays_zip("keys", "sides"))).withColumnsRenamed({"keys": "key", "sides": "side"})
-    pairs, members = _met(entries, scratch, "all")
-    members = members.withColumn("of", F.col("key"))
-    side = lambda shift, which: F.xxhash64("key", F.shiftrightunsigned("side", shift).bitwiseAND(F.lit(0xFFFF)), F.lit(which))
-    hot = members.where(F.col("m") > HOT)
-    hot_keys = None
-    if hot.take(1):
-        cut = hot.select("h", "n", "sim", "sim2", "side", "of", F.explode(F.array(side(16, 0), side(0, 1))).alias("key"))
-        # A line has a few hot blocks at most, and twice as many keys in their place.
-        hot_keys = scratch.save(cut.groupBy("h").agg(F.collect_set("of").alias("hot"), F.collect_set("key").alias("cut")), "hot-keys")
-        more, cut_members = _met(cut, scratch, "hot")
-        pairs, members = pairs.unionByName(more), members.where(F.col("m") <= HOT).unionByName(cut_members, allowMissingColumns=True)
-    stars = members.where("h <> a").where(_within("sim", "sa")).select("a", F.col("h").alias("b"))
+def _links(full: DataFrame, scratch: Scratch, parts: int, similar: float) -> DataFrame:
+    """Links (a, b) of similar classes, that connect each group. full: as _near."""
+    entries = full.select("h", "n", "sig", "sig2", F.explode("keys").alias("key"))
+    found = scratch.save(_buckets(entries), "buckets")
+    # Bounds that no pair similar enough is beyond.
+    pairs = found.where("m = 2").where(F.col("bits") <= 2 * (1 - similar) * F.col("most") + 1e-6).where(F.col("least") >= similar * F.col("most") - 1e-6).select("a", "b")
+    larger = small(found.where("m > 2").select("key", "a"))
+    members = scratch.save(full.select("h", "n", "sim", "sig", "sig2", F.explode("keys").alias("key")).join(larger, "key"), "members")
+    # Those near the head by SimHash are tried first; what this leaves is looked into below.
+    heads = members.where("h = a").select("key", F.col("sim").alias("sa"))
+    stars = members.where("h <> a").join(small(scratch.save(heads, "heads")), "key").where(_within("sim", "sa")).select("a", F.col("h").alias("b"))
     pairs = scratch.save(pairs.unionByName(stars).distinct(), "pairs")
+    scratch.drop("buckets", "heads")
+    release(full.sparkSession)
 
     def with_lines(df: DataFrame, on: str, name: str, *more: str) -> DataFrame:
         """df with the line of class df.on as name, and more columns of the class."""
         wanted = scratch.save(df.select(F.col(on).alias("h")).distinct(), f"wanted-{name}")
-        lines = full.select("h", "value", *more).join(small(wanted), "h", "left_semi").dropDuplicates(["h"])
+        lines = full.select("h", "value", *more).join(small(wanted), "h", "left_semi")
         return df.join(lines.select(F.col("h").alias(on), F.col("value").alias(name), *more), on)
 
     @tidy
     def confirm(batches):
         for pdf in batches:
             cut: dict = {}
-            ok = [_verified(cut, x, y, similar) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            ok = [_verified(cut, x, y, similar) for x, y in zip(pdf.iloc[:, -2], pdf.iloc[:, -1], strict=True)]
             yield pdf[["a", "b"]][ok]
 
-    links = scratch.save(with_lines(with_lines(pairs, "a", "x"), "b", "y").mapInPandas(confirm, "a bigint, b bigint"), "star-links")
+    confirmed = lambda df, name: with_lines(with_lines(df, "a", f"{name}-x"), "b", f"{name}-y").mapInPandas(confirm, "a bigint, b bigint")
+    links = scratch.save(confirmed(pairs, "star"), "star-links")
+    scratch.drop("pairs", "wanted-star-x", "wanted-star-y")
+    release(full.sparkSession)
 
     comps = components(links, scratch, "stars")
     told = members.select("key", F.lit(0).alias("band"), F.col("h").alias("id"), (1 + F.floor(F.col("n") / WORDS)).alias("load"))
-    looked = cells(told, comps, CHUNK, scratch).join(members.select("key", F.col("h").alias("id"), "n", "sim", "sim2", "of"), ["key", "id"])
+    looked = cells(told, comps, CHUNK, scratch).join(members.select("key", F.col("h").alias("id"), "n", "sig", "sig2"), ["key", "id"])
     placed = lambda df: df.repartition(parts, *CELL).sortWithinPartitions(*CELL, "id")
-    columns = [*CELL, "id", "comp", "part", "own", "n", "sim", "sim2", "of"]
+    columns = [*CELL, "id", "comp", "part", "own", "n", "sig", "sig2"]
 
     @tidy
     def search(batches):
+        """Pairs (id, other) of cells of few rows; of larger cells the rows that have any."""
         for pdf in _whole(batches, CELL):
-            any_ = np.zeros(len(pdf), bool)
+            any_, ids, pairs = np.zeros(len(pdf), bool), pdf["id"].to_numpy(), [np.zeros((0, 2), np.int64)]
+            rows = np.diff(_bounds(pdf))
+            few = np.repeat(rows <= HOT, rows)
             for i, j in in_reach(pdf, similar):
-                any_[i] = any_[j] = True
-            yield pdf[any_][columns]
-
-    likely = scratch.save(placed(looked).mapInPandas(search, "key bigint, band int, a int, b int, id bigint, comp bigint, part int, own boolean, n int, sim bigint, sim2 bigint, of bigint"), "likely")
+                any_[i[~few[i]]] = any_[j[~few[i]]] = True
+                pairs.append(np.unique(np.sort(np.stack([ids[i[few[i]]], ids[j[few[i]]]], 1), 1), axis=0))
+            met = pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["id", "other"])
+            yield pdf[any_][columns].assign(other=None)
+            yield met.assign(**{c: None for c in columns if c != "id"})[[*columns, "other"]]
+
+    likely = scratch.save(placed(looked).mapInPandas(search, "key bigint, band int, a int, b int, id bigint, comp bigint, part int, own boolean, n int, sig bigint, sig2 bigint, other bigint"), "likely")
+    scratch.drop("members", "cell-stats")
+    release(full.sparkSession)
+    met = scratch.save(likely.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "met")
+    others = confirmed(met, "other")
+    likely = likely.where("other is null").drop("other")
 
     @tidy
     def compare(batches):
@@ -343,57 +544,40 @@ def _links(docs_lines: DataFrame, scratch: Scratch, parts: int, similar: float)
                 yield pd.DataFrame(out, columns=["a", "b"])
 
     lined = with_lines(likely, "id", "value", "keys")
-    none = F.lit(None).cast("array<bigint>")
-    lined = lined.join(small(hot_keys.withColumnRenamed("h", "id")), "id", "left") if hot_keys else lined.withColumns({"hot": none, "cut": none})
     more = placed(lined).mapInPandas(compare, "a bigint, b bigint")
-    return scratch.save(links.unionByName(more), "links")
-
-
-#: Lines of a cell beyond which pairs are met by their rarest words, not one and all.
-FEW = 32
+    links = scratch.save(links.unionByName(others).unionByName(more), "links")
+    scratch.drop("near", "likely", "met")
+    release(full.sparkSession)
+    return links
 
 
 def _linked_in(group: pd.DataFrame, similar: float) -> list[tuple[int, int]]:
     """Links between lines of a cell, that connect what is similar."""
     cut: dict = {}
     linked, lines, ids = Links(group["comp"].to_numpy()), list(group["value"]), group["id"].to_numpy()
-    listed = lambda x: frozenset() if x is None or isinstance(x, float) else frozenset(x.tolist())
-    hot, cuts = [listed(x) for x in group["hot"]], [listed(x) for x in group["cut"]]
-    keys = [listed(x) - h for x, h in zip(group["keys"], hot, strict=True)]
-    key, whole, out = int(group["key"].iloc[0]), int(group["key"].iloc[0]) == int(group["of"].iloc[0]), []
-
-    def here(x: int, y: int) -> bool:
-        """Whether this is the bucket in which a pair is compared: that of the least
-        block that both have, or, where they have hot ones only, of the least key
-        that stands in their place."""
-        both = keys[x] & keys[y]
-        return min(both) == key if both else not whole and min(cuts[x] & cuts[y]) == key
+    keys, key, out = [frozenset(x.tolist()) for x in group["keys"]], int(group["key"].iloc[0]), []
 
     def tried(x: int, y: int) -> None:
-        if linked.root(x) != linked.root(y) and here(x, y) and _verified(cut, lines[x], lines[y], similar):
+        # A pair is compared in the bucket of the least block that both have.
+        if linked.root(x) != linked.root(y) and min(keys[x] & keys[y]) == key and _verified(cut, lines[x], lines[y], similar):
             linked.join(x, y)
             out.append((int(ids[x]), int(ids[y])))
 
-    if len(group) <= FEW:
-        for i, j in in_reach(group, similar):
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                tried(x, y)
-        return out
     # Similar lines have one of their rarest words in common, as so many of these
     # as there may be edits, and one more, cannot all be missing.
-    split = [words(v) for v in lines]
+    split = [v.split() for v in lines]
     count: dict[bytes, int] = {}
     for w in split:
         for x in set(w):
             count[x] = count.get(x, 0) + 1
     part, own, n = group["part"].to_numpy(), bool(group["own"].iloc[0]), group["n"].to_numpy()
-    sim = np.stack([group[c].to_numpy().view(np.uint64) for c in ("sim", "sim2")])
+    sig = np.stack([group[c].to_numpy().view(np.uint64) for c in ("sig", "sig2")])
     met: dict[bytes, list[int]] = {}
     for y, w in enumerate(split):
-        rare = sorted(w, key=lambda x: (count[x], x))[: edits(int(len(w) / similar), similar) + 1]
+        rare = sorted(w, key=lambda x: (count[x], x))[: edits(int(len(w) / similar + 1e-9), similar) + 1]
         others = np.array(sorted({x for r in set(rare) for x in met.get(r, ())}), np.int64)
         if len(others):
-            near = np.bitwise_count(sim[:, others] ^ sim[:, y, None]).sum(0) <= FAR_WHOLE
+            near = np.bitwise_count(sig[:, others] ^ sig[:, y, None]).sum(0) <= 2 * (1 - similar) * np.maximum(n[others], n[y]) + 1e-6
             near &= (np.minimum(n[others], n[y]) >= similar * np.maximum(n[others], n[y]) - 1e-6) & (own | (part[others] != part[y]))
             for x in others[near].tolist():
                 tried(x, y)
@@ -425,19 +609,24 @@ def _whole(batches, by: list[str]):
         yield pd.concat(kept, ignore_index=True) if len(kept) > 1 else kept[0]
 
 
+def _bounds(pdf: pd.DataFrame) -> np.ndarray:
+    """Where the cells of sorted rows begin, and the end."""
+    keys = pdf[CELL].to_numpy()
+    return np.array([0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)])
+
+
 def in_reach(pdf: pd.DataFrame, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions i < j of the pairs of one cell that are to be compared, long enough
-    for each other and within FAR_WHOLE bits: all rows meet the next of their cell,
+    for each other and within the word bits that so many edits may change: all rows meet the next of their cell,
     then the one after."""
-    keys = pdf[CELL].to_numpy()
-    bounds = np.array([0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)])
+    bounds = _bounds(pdf)
     rest = np.repeat(bounds[1:], np.diff(bounds))
-    sim, sim2 = (pdf[c].to_numpy().view(np.uint64) for c in ("sim", "sim2"))
+    sig, sig2 = (pdf[c].to_numpy().view(np.uint64) for c in ("sig", "sig2"))
     comp, part, own, n = pdf["comp"].to_numpy(), pdf["part"].to_numpy(), pdf["own"].to_numpy(bool), pdf["n"].to_numpy(float)
-    i, lag = np.arange(len(keys)), 1
+    i, lag = np.arange(len(pdf)), 1
     while len(i := i[i + lag < rest[i]]):
         j = i + lag
-        hit = np.bitwise_count(sim[i] ^ sim[j]) + np.bitwise_count(sim2[i] ^ sim2[j]) <= FAR_WHOLE
+        hit = np.bitwise_count(sig[i] ^ sig[j]) + np.bitwise_count(sig2[i] ^ sig2[j]) <= 2 * (1 - similar) * np.maximum(n[i], n[j]) + 1e-6
         hit &= (comp[i] != comp[j]) & (own[i] | (part[i] != part[j])) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]) - 1e-6)
         yield i[hit], j[hit]
         lag += 1
@@ -449,10 +638,11 @@ def line_groups(docs: DataFrame, min_words: int = 1, similar: float = SIMILAR, w
     ``whole`` only equal lines are groups."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "lines"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = scratch.save(_lines(docs, min_words, similar), "lines")
-    occurrences = lines.select("doc_id", "print", "line", "h")
+    if not SIMILAR <= similar < 1:
+        raise ValueError("similar: 0.8 to below 1; at less, similar lines need not share a run of three words")
+    occurrences = scratch.save(_occurrences(docs, min_words), "lines")
     if whole:
-        comps = components(_links(lines, scratch, parts, similar), scratch, "groups")
+        comps = components(_links(_lines(docs, scratch, parts, min_words, similar), scratch, parts, similar), scratch, "groups")
         grouped = occurrences.join(small(comps), F.col("h") == F.col("id"), "left").select("doc_id", "print", "line", F.coalesce("component", "h").alias("group"))
     else:
         grouped = occurrences.withColumnRenamed("h", "group")

@@ -263,3 +263,20 @@ def test_hot_blocks_are_cut(documents, monkeypatch):
     docs = list(enumerate(lines + [" ".join(x) for x in copies]))
     got = {r["doc_id"]: r["__removed"] for r in dedup_lines(documents(docs)).collect()}
     assert got == {i: [0] if i >= 150 else [] for i, _ in docs}
+
+
+def test_pairs_beyond_simhash_and_of_four_words(documents):
+    """Every pair at the threshold is linked, however far its SimHashes are, and a line of
+    four words with the one of five that has one more."""
+    rng = random.Random(31)
+    lines = []
+    for f in range(60):
+        base = [f"{'xyz'[f % 3] * 3}{rng.randrange(10**6)}" for _ in range(4)]
+        lines += [" ".join(base), " ".join(base[: f % 5] + [f"m{f}"] + base[f % 5 :])]
+    for f in range(40):
+        # Few different words, so that two others turn much of the SimHash.
+        lines += [" ".join([f"r{f}"] * 4 + [f"{c}{rng.randrange(10**6)}" for c in two] + [f"r{f}"] * 4) for two in ("pq", "st")]
+    sims = line_codes(lines)[1]
+    assert max(int(a ^ b).bit_count() for a, b in zip(sims[::2], sims[1::2], strict=True)) > 24
+    got = {r["doc_id"]: r["__removed"] for r in dedup_lines(documents(list(enumerate(lines)))).collect()}
+    assert got == {i: [0] if i % 2 else [] for i in range(len(lines))}
