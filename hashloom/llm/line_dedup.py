@@ -52,7 +52,7 @@ SIMILAR, FAR = 0.8, 24
 #: Words of a block; lines of so many words are also met by what one edit leaves.
 RUN, FIVE = 3, 5
 #: Lines of a cell beyond which pairs are met by their rarest words, and compared in it.
-HOT = 8
+HOT = 32
 #: Load of a cell's chunk: a line counts 1, and 1 more for each WORDS of its words.
 CHUNK, WORDS = 1536, 64
 #: Bytes of lines whose blocks are counted and looked up together, and that are hashed at once.

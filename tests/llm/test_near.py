@@ -280,3 +280,15 @@ def test_pairs_beyond_simhash_and_of_four_words(documents):
     assert max(int(a ^ b).bit_count() for a, b in zip(sims[::2], sims[1::2], strict=True)) > 24
     got = {r["doc_id"]: r["__removed"] for r in dedup_lines(documents(list(enumerate(lines)))).collect()}
     assert got == {i: [0] if i % 2 else [] for i in range(len(lines))}
+
+
+def test_long_lines_share_more_than_a_sketch(documents):
+    """Of long lines, of which every fifth word is another, no pair is missed."""
+    rng = random.Random(37)
+    lines = []
+    for n in (50, 120, 400):
+        for f in range(40):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            lines += [" ".join(base), " ".join(f"v{rng.randrange(10**8)}" if i % 5 == 4 else w for i, w in enumerate(base))]
+    got = {r["doc_id"]: r["__removed"] for r in dedup_lines(documents(list(enumerate(lines)))).collect()}
+    assert got == {i: [0] if i % 2 else [] for i in range(len(lines))}
