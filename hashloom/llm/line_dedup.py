@@ -55,8 +55,9 @@ RUN, FIVE = 3, 5
 HOT = 32
 #: Load of a cell's chunk: a line counts 1, and 1 more for each WORDS of its words.
 CHUNK, WORDS = 1536, 64
-#: Bytes of lines whose blocks are counted and looked up together, and that are hashed at once.
-PIECE, AT_ONCE = 4 << 20, 128 << 10
+#: Bytes of lines whose blocks are counted and looked up together, that are hashed at once, and
+#: that are dealt out together.
+PIECE, AT_ONCE, DEALT = 4 << 20, 128 << 10, 16 << 20
 DOCS = 400
 
 
@@ -306,45 +307,82 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("print"), "text").where("text is not null")
 
 
+#: Lines travel and lie in packs: their hashes (i64), bytes before compression, and lines.
+PACK = ["h", "size", "lines"]
+
+
+def packed(h: np.ndarray, values: list[bytes]) -> tuple[bytes, int, bytes]:
+    """A pack of normalised lines, which hold no line break."""
+    whole = b"\n".join(values)
+    return h.astype(np.int64, copy=False).tobytes(), len(whole), pa.compress(whole, "zstd", asbytes=True)
+
+
+def unpacked(h: bytes, size: int, lines: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The hashes and lines of a pack (of one line at least)."""
+    return np.frombuffer(h, np.int64), pa.decompress(lines, size, "zstd", asbytes=True).split(b"\n")
+
+
+def _packs(rows: list[tuple], names: list[str], first: pa.DataType) -> pa.RecordBatch:
+    types = [first, pa.binary(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names=names)
+
+
 def _classes(docs: DataFrame, parts: int, least: int) -> DataFrame:
-    """chunk, h and value (normalised) of each different line of so many words at least.
-    A chunk is some PIECE bytes of lines."""
+    """chunk and pack of the different lines of so many words at least. A chunk is some
+    PIECE bytes of lines; those of task t have the numbers from t << 32 on. A task keeps
+    the hashes of its lines."""
 
     @tidy
     def split(batches):
+        once: dict[bytes, None] = {}
+        held = 0
+
+        def deal():
+            values = list(once)
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
+            to = (h % np.uint64(parts)).astype(np.int64)
+            order, ends = np.argsort(to, kind="stable"), np.cumsum(np.bincount(to, minlength=parts)).tolist()
+            for a, b in zip([0, *ends], ends):
+                if a < b:
+                    own = order[a:b]
+                    yield _packs([(int(to[own[0]]), *packed(h[own].view(np.int64), [values[i] for i in own.tolist()]))], ["part", *PACK], pa.int32())
+
         for got in batches:
             for i in range(0, len(got), DOCS):
-                once = {v for _, _, v in _split(got.slice(i, DOCS)) if v.count(b" ") + 1 >= least}
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, once), np.uint64, len(once))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(once), pa.binary())], names=["h", "value"])
+                for _, _, v in _split(got.slice(i, DOCS)):
+                    if v not in once and v.count(b" ") + 1 >= least:
+                        once[v] = None
+                        held += len(v)
+                if held >= DEALT:
+                    yield from deal()
+                    once, held = {}, 0
+        if once:
+            yield from deal()
 
     @tidy
     def differ(batches):
         from pyspark import TaskContext
 
-        last, held, chunk = None, 0, TaskContext.get().partitionId() << 32
+        seen: set[int] = set()
+        chunk, h, values, held = TaskContext.get().partitionId() << 32, [], [], 0
         for got in batches:
-            h = got["h"].to_numpy()
-            fresh = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-            if len(h):
-                fresh[0], last = h[0] != last, h[-1]
-            part = got.filter(pa.array(fresh))
-            before = held + np.cumsum(pc.binary_length(part["value"]).to_numpy(zero_copy_only=False).astype(np.int64))
-            held = int(before[-1]) if len(before) else held
-            yield pa.RecordBatch.from_arrays([pa.array(chunk + before // PIECE, pa.int64()), part["h"], part["value"].cast(pa.binary())], names=["chunk", "h", "value"])
-
-    rows = _texts(docs).select("text").mapInArrow(split, "h bigint, value binary")
-    return rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(differ, "chunk bigint, h bigint, value binary")
-
-
-def _stretches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut where a column changes."""
-    for got in batches:
-        x = got[column].to_numpy()
-        cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                yield got.slice(a, b - a)
+            for row in zip(*(got[c].to_pylist() for c in PACK), strict=True):
+                for x, v in zip((found := unpacked(*row))[0].tolist(), found[1], strict=True):
+                    if x in seen:
+                        continue
+                    seen.add(x)
+                    h.append(x)
+                    values.append(v)
+                    held += len(v)
+                    if held >= PIECE:
+                        yield _packs([(chunk, *packed(np.array(h), values))], ["chunk", *PACK], pa.int64())
+                        chunk, h, values, held = chunk + 1, [], [], 0
+        if h:
+            yield _packs([(chunk, *packed(np.array(h), values))], ["chunk", *PACK], pa.int64())
+
+    pack = "h binary, size int, lines binary"
+    rows = _texts(docs).select("text").mapInArrow(split, f"part int, {pack}")
+    return rows.repartitionById(parts, "part").mapInArrow(differ, f"chunk bigint, {pack}")
 
 
 def _counts(classes: DataFrame, bits: int, parts: int) -> DataFrame:
@@ -354,14 +392,14 @@ def _counts(classes: DataFrame, bits: int, parts: int) -> DataFrame:
 
     @tidy
     def tell(batches):
-        for got in _stretches(batches, "chunk"):
-            found = [line_blocks(Rolled(x))[1] for _, x in _some(got["value"].to_pylist())]
+        for chunk, *row in (x for got in batches for x in zip(*(got[c].to_pylist() for c in ("chunk", *PACK)), strict=True)):
+            found = [line_blocks(Rolled(x))[1] for _, x in _some(unpacked(*row)[1])]
             code, n = np.unique(np.concatenate(found) >> np.uint64(32 - bits), return_counts=True)
             of, n = (code >> np.uint64(32)).astype(np.int64), np.minimum(n, 255).astype(np.uint8)
             cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
             low = code.astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(of[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, got["chunk"][0].as_py())), pa.array([low[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                [pa.array(of[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, chunk)), pa.array([low[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
                 names=["range", "chunk", "low", "n"],
             )
 
@@ -384,7 +422,7 @@ def _counts(classes: DataFrame, bits: int, parts: int) -> DataFrame:
                     out.append((chunk, ((of << 32) + x[n > 1].astype("<i8")).tobytes(), n[n > 1].tobytes()))
             yield pd.DataFrame(out, columns=["chunk", "codes", "counts"])
 
-    told = classes.select("chunk", "value").mapInArrow(tell, "range bigint, chunk bigint, low binary, n binary")
+    told = classes.mapInArrow(tell, "range bigint, chunk bigint, low binary, n binary")
     return told.repartition(parts, "range").sortWithinPartitions("range").mapInPandas(count, "chunk bigint, codes binary, counts binary")
 
 
@@ -420,25 +458,23 @@ def _near(classes: DataFrame, counts: DataFrame, bits: int, parts: int, similar:
     @tidy
     def choose(batches):
         chunk, codes, held = None, [], []
-        for got in _stretches(batches, "chunk"):
-            if got["chunk"][0].as_py() != chunk:
-                chunk, codes, held, table = got["chunk"][0].as_py(), [], [], None
-            told = got.filter(pc.is_valid(got["codes"]))
-            codes += [np.frombuffer(x, "<i8") for x in told["codes"].to_pylist()]
-            held += [np.frombuffer(x, np.uint8) for x in told["counts"].to_pylist()]
-            lines = got.filter(pc.is_valid(got["h"]))
-            if len(lines):
-                if table is None:
-                    all_, n = np.concatenate([np.zeros(0, np.int64), *codes]), np.concatenate([np.zeros(0, np.uint8), *held])
-                    order = np.argsort(all_)
-                    table = all_[order], n[order].astype(np.int64)
-                h = lines["h"].to_numpy(zero_copy_only=False).astype(np.int64)
-                for at, values in _some(lines["value"].to_pylist()):
-                    yield near_rows(h[at : at + len(values)], values, *table, bits, similar)
-
-    none = [F.lit(None).cast("binary").alias(c) for c in ("codes", "counts")]
-    rows = counts.select("chunk", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("binary").alias("value"), "codes", "counts").unionByName(classes.select("chunk", "h", "value", *none))
-    rows = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("h").isNotNull())
+        for at, told, n, *row in (x for got in batches for x in zip(*(got[c].to_pylist() for c in ("chunk", "codes", "counts", *PACK)), strict=True)):
+            if at != chunk:
+                chunk, codes, held = at, [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+            if told is not None:
+                codes.append(np.frombuffer(told, "<i8"))
+                held.append(np.frombuffer(n, np.uint8))
+                continue
+            all_ = np.concatenate(codes)
+            order = np.argsort(all_)
+            table = all_[order], np.concatenate(held)[order].astype(np.int64)
+            h, lines = unpacked(*row)
+            for at_, values in _some(lines):
+                yield near_rows(h[at_ : at_ + len(values)], values, *table, bits, similar)
+
+    none = lambda *columns: [F.lit(None).cast(t).alias(c) for c, t in columns]
+    rows = counts.select("chunk", "codes", "counts", *none(("h", "binary"), ("size", "int"), ("lines", "binary"))).unionByName(classes.select("chunk", *none(("codes", "binary"), ("counts", "binary")), *PACK))
+    rows = rows.repartitionById(parts, F.shiftright("chunk", 32).cast("int")).sortWithinPartitions("chunk", F.col("h").isNotNull())
     return rows.mapInArrow(choose, "h bigint, n int, sim bigint, sig bigint, sig2 bigint, keys array<bigint>, value binary")
 
 
@@ -447,7 +483,7 @@ def _lines(docs: DataFrame, scratch: Scratch, parts: int, min_words: int, simila
     spark, least = docs.sparkSession, next(m for m in range(1, 1 << 20) if edits(int(m / similar + 1e-9), similar))
     classes = scratch.save(_classes(docs, parts, max(min_words, least)), "classes")
     release(spark)
-    size = classes.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("n")).first()["n"]
+    size = classes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     # Ranges of some two million blocks, if words have six bytes.
     bits = min(31, pieces(size, 12 << 20).bit_length() - 1)
     counts = scratch.save(_counts(classes, bits, parts), "counts")
@@ -510,6 +546,27 @@ def _links(full: DataFrame, scratch: Scratch, parts: int, similar: float) -> Dat
     release(full.sparkSession)
 
     comps = components(links, scratch, "stars")
+    # Members outside the largest component of a large bucket meet one of that component, drawn by
+    # bucket, which links most of what the heads have left of groups of near copies.
+    known = members.join(comps.withColumnRenamed("id", "h"), "h", "left").withColumn("comp", F.coalesce("component", "h"))
+    drawn = F.min(F.col("h").bitwiseXOR(F.xxhash64("key")))
+    per = known.groupBy("key", "comp").agg(F.count("*").alias("m"), drawn.alias("drawn"))
+    most = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.max(F.struct("m", "comp", "drawn")).alias("most")).where((F.col("comps") > 1) & (F.col("m") > HOT))
+    most = scratch.save(most.select("key", F.col("most.comp").alias("largest"), F.col("most.drawn").bitwiseXOR(F.xxhash64("key")).alias("head")), "largest")
+    left = scratch.save(known.join(small(most), "key").where((F.col("comp") != F.col("largest")) | (F.col("h") == F.col("head"))).select("key", "h", "head", "comp", "largest", "n", "sig", "sig2"), "outside")
+    heads = left.where("h = head").select("key", F.col("n").alias("n_"), F.col("sig").alias("sig_"), F.col("sig2").alias("sig2_"))
+    turned, longer = (F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in ("sig", "sig2")), F.greatest("n", "n_")
+    reach = (sum(turned, F.lit(0)) <= 2 * (1 - similar) * longer + 1e-6) & (F.least("n", "n_") >= similar * longer - 1e-6)
+    tries = scratch.save(left.where("h <> head").join(small(scratch.save(heads, "drawn")), "key").where(reach).groupBy(F.col("head").alias("a"), F.col("h").alias("b")).agg(F.max("largest").alias("ca"), F.max("comp").alias("cb")), "tries")
+    if tries.take(1):
+        again = scratch.save(confirmed(tries, "second").join(tries, ["a", "b"]), "second-links")
+        merged = components(again.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, "seconds").withColumnsRenamed({"id": "old", "component": "new"})
+        merged = small(scratch.save(merged, "merged"))
+        alone = merged.join(comps, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("component"))
+        comps = scratch.save(comps.join(merged, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")).unionByName(alone), "merged-comps")
+        links = links.unionByName(again.select("a", "b"))
+    scratch.drop("largest", "outside", "drawn", "wanted-second-x", "wanted-second-y")
+    release(full.sparkSession)
     told = members.select("key", F.lit(0).alias("band"), F.col("h").alias("id"), (1 + F.floor(F.col("n") / WORDS)).alias("load"))
     looked = cells(told, comps, CHUNK, scratch).join(members.select("key", F.col("h").alias("id"), "n", "sig", "sig2"), ["key", "id"])
     placed = lambda df: df.repartition(parts, *CELL).sortWithinPartitions(*CELL, "id")

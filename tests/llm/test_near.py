@@ -292,3 +292,16 @@ def test_long_lines_share_more_than_a_sketch(documents):
             lines += [" ".join(base), " ".join(f"v{rng.randrange(10**8)}" if i % 5 == 4 else w for i, w in enumerate(base))]
     got = {r["doc_id"]: r["__removed"] for r in dedup_lines(documents(list(enumerate(lines)))).collect()}
     assert got == {i: [0] if i % 2 else [] for i in range(len(lines))}
+
+
+def test_lines_travel_and_lie_in_packs(documents):
+    """Each different line is in one pack, and packs take less than half of the lines' bytes."""
+    from hashloom.llm.line_dedup import _classes, unpacked
+
+    rng = random.Random(41)
+    lines = [" ".join(f"word{rng.randrange(500)}" for _ in range(30)) for _ in range(1500)]
+    docs = [(i, "\n".join(lines[i * 10 : i * 10 + 20])) for i in range(150)] + [(999, None), (1000, "one two")]
+    rows = _classes(documents(docs), 3, 3).collect()
+    found = [v for r in rows for v in unpacked(r["h"], r["size"], r["lines"])[1]]
+    assert sorted(found) == sorted({x.encode() for x in lines}) and len({r["chunk"] for r in rows}) == len(rows) <= 3
+    assert sum(len(r["lines"]) for r in rows) < sum(map(len, found)) / 2
