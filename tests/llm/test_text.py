@@ -304,3 +304,30 @@ def test_languages_against_plain_counts(documents):
         share = [sum(len(w) for w, k in zip(words, labels) if k == j) for j in range(len(names))]
         assert got[i]["lang_pred"] == names[int(np.argmax(share))], text
         assert got[i]["score"] == pytest.approx(max(share) / sum(share)), text
+
+
+def test_classes_and_spelling_are_fitted_on_everything(spark, monkeypatch):
+    """Frequent words of all texts, centres that all texts have, and the spelling's weights
+    from all words: more of both than the samples of 3,000 and 20,000 once were."""
+    from hashloom.llm import context_mixing as M
+    from hashloom.llm.common import Scratch, hash_of
+
+    monkeypatch.setattr(M, "FREQUENT", 6)
+    texts = [(i, f"{'le la les' if i % 3 else 'the of and'} w{i} {'the' if i % 7 else ''}") for i in range(3600)] + [(None, None)]
+    train = spark.createDataFrame(texts, "doc_id bigint, text string")
+    count = Counter(w.encode() for _, t in texts for w in tokens(t)[:-1])
+    assert M._frequent(train) == sorted(count, key=lambda w: (-count[w], w))[:6]
+    made = M.learned(train, Scratch(spark, "test"), 2)
+    x = np.array([made.vectors(*M.coded_words([t or ""]))[0] for _, t in texts])
+    x = np.rint(x[x.any(1)] * M.FINE)
+    near = (x @ made.centres.T).argmax(1)
+    sums = np.stack([x[near == j].sum(0) for j in (0, 1)])
+    assert np.allclose(sums / np.linalg.norm(sums, axis=1, keepdims=True), made.centres)
+
+    words = spark.createDataFrame([(f"v{i * 7919 % 100003}".encode(),) for i in range(21_000)], "word binary")
+    got, want = M._spelling(words, 21_000), Speller()
+    plain = [bytes(r["word"]) for r in words.orderBy(hash_of("word"), "word").collect()]
+    want.count(plain)
+    want.train(plain, 525)
+    assert np.array_equal(got.counts, want.counts) and np.allclose(got.mixer.w, want.mixer.w)
+    assert np.allclose(got.mixer.ones / got.mixer.seen, want.mixer.ones / want.mixer.seen)
