@@ -331,3 +331,26 @@ def test_classes_and_spelling_are_fitted_on_everything(spark, monkeypatch):
     want.train(plain, 525)
     assert np.array_equal(got.counts, want.counts) and np.allclose(got.mixer.w, want.mixer.w)
     assert np.allclose(got.mixer.ones / got.mixer.seen, want.mixer.ones / want.mixer.seen)
+
+
+def test_spelling_and_codes_are_told_once_for_all_that_share_them(monkeypatch):
+    """The bits of equal bytes after equal ones are looked at once, and counted and priced
+    as those of every word; texts' codes are compressed."""
+    from hashloom.llm import context_mixing as M
+
+    words = [f"wort{i % 90}s".encode() for i in range(4000)] + [b"", b"\xc3\xa9t\xc3\xa9"]
+    seen, plain = [], Speller.bits
+    monkeypatch.setattr(Speller, "bits", staticmethod(lambda codes: (seen.append(len(codes)), plain(codes))[1]))
+    speller = Speller()
+    speller.count(words)
+    assert seen == [len({(b"    " + w + b" ")[i : i + 5] for w in words for i in range(len(w) + 1)})]
+    assert speller.counts.sum() == 8 * len(M.ORDERS) * sum(len(w) + 1 for w in words)
+    one = Speller()
+    for w in words:
+        one.count([w])
+    assert np.array_equal(speller.counts, one.counts)
+    speller.train(words, 500)
+    assert np.allclose(speller.log_spell(words), [speller.log_spell([w])[0] for w in words])
+
+    codes = np.random.default_rng(3).zipf(1.3, 3000).clip(0, 1 << 20)
+    assert np.array_equal(M.unpacked_codes(M.packed_codes(codes), 3000), codes) and len(M.packed_codes(codes)) < 2 * 3000
