@@ -311,10 +311,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 PACK = ["h", "size", "lines"]
 
 
-def packed(h: np.ndarray, values: list[bytes]) -> tuple[bytes, int, bytes]:
+#: Level of compression of packs that lie in a table and travel again; others travel once.
+TIGHT = 5
+
+
+def packed(h: np.ndarray, values: list[bytes], level: int = 1) -> tuple[bytes, int, bytes]:
     """A pack of normalised lines, which hold no line break."""
     whole = b"\n".join(values)
-    return h.astype(np.int64, copy=False).tobytes(), len(whole), pa.compress(whole, "zstd", asbytes=True)
+    return h.astype(np.int64, copy=False).tobytes(), len(whole), pa.Codec("zstd", compression_level=level).compress(whole, asbytes=True)
 
 
 def unpacked(h: bytes, size: int, lines: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -375,10 +379,10 @@ def _classes(docs: DataFrame, parts: int, least: int) -> DataFrame:
                     values.append(v)
                     held += len(v)
                     if held >= PIECE:
-                        yield _packs([(chunk, *packed(np.array(h), values))], ["chunk", *PACK], pa.int64())
+                        yield _packs([(chunk, *packed(np.array(h), values, TIGHT))], ["chunk", *PACK], pa.int64())
                         chunk, h, values, held = chunk + 1, [], [], 0
         if h:
-            yield _packs([(chunk, *packed(np.array(h), values))], ["chunk", *PACK], pa.int64())
+            yield _packs([(chunk, *packed(np.array(h), values, TIGHT))], ["chunk", *PACK], pa.int64())
 
     pack = "h binary, size int, lines binary"
     rows = _texts(docs).select("text").mapInArrow(split, f"part int, {pack}")

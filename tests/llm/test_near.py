@@ -305,3 +305,15 @@ def test_lines_travel_and_lie_in_packs(documents):
     found = [v for r in rows for v in unpacked(r["h"], r["size"], r["lines"])[1]]
     assert sorted(found) == sorted({x.encode() for x in lines}) and len({r["chunk"] for r in rows}) == len(rows) <= 3
     assert sum(len(r["lines"]) for r in rows) < sum(map(len, found)) / 2
+
+
+def test_packs_in_tables_are_tight(documents):
+    """Packs that lie in a table take less than at the level of packs that only travel."""
+    from hashloom.llm.line_dedup import _classes, packed, unpacked
+
+    rng = random.Random(43)
+    lines = ["\n".join(" ".join(f"word{int(rng.paretovariate(0.6)) % 3000}" for _ in range(40)) for _ in range(20)) for _ in range(150)]
+    rows = _classes(documents(list(enumerate(lines))), 2, 3).collect()
+    found = [(len(r["lines"]), unpacked(r["h"], r["size"], r["lines"])) for r in rows]
+    assert sorted(v for _, (_, x) in found for v in x) == sorted(v.encode() for v in set("\n".join(lines).split("\n")))
+    assert sum(n for n, _ in found) < 0.97 * sum(len(packed(h, x)[2]) for _, (h, x) in found)
