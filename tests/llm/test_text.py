@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,3 +355,31 @@ def test_spelling_and_codes_are_told_once_for_all_that_share_them(monkeypatch):
 
     codes = np.random.default_rng(3).zipf(1.3, 3000).clip(0, 1 << 20)
     assert np.array_equal(M.unpacked_codes(M.packed_codes(codes), 3000), codes) and len(M.packed_codes(codes)) < 2 * 3000
+
+
+def test_tasks_of_few_words_put_out_small_tables(spark, monkeypatch):
+    """Tables of counts travel by their places that are not 0, so that words cost about
+    the same on disk however many tasks they are dealt to."""
+    from hashloom.llm import context_mixing as M
+
+    rng = np.random.default_rng(5)
+    for n in (np.zeros(9), np.zeros(0), rng.normal(size=500), np.array([0, -1.5, 0, 0, 1e300, np.inf, 2.0**53]), (rng.random(1 << 16) < 0.01) * 3.0):
+        size, at, got = M.unpacked_table(M.packed_table(n))
+        full = np.zeros(size)
+        full[at] = got
+        assert size == len(n) and np.array_equal(full, n)
+
+    words = spark.createDataFrame([(f"v{i * 7919 % 100003}".encode(),) for i in range(4000)], "word binary")
+    moved, plain = [], M._summed
+
+    def measured(parts, *a):
+        rows = parts.select("n").collect()
+        moved.append((len(rows), sum(len(pa.compress(bytes(r["n"]), "lz4", asbytes=True)) for r in rows)))
+        return plain(parts, *a)
+
+    monkeypatch.setattr(M, "_summed", measured)
+    monkeypatch.setattr(M, "SPELL_WORDS", 200)
+    got, want = M._spelling(words, 4000), Speller()
+    want.count([bytes(r["word"]) for r in words.collect()])
+    assert np.array_equal(got.counts, want.counts)
+    assert moved[0][0] > 100 and moved[0][1] < 600_000, moved
